@@ -17,7 +17,7 @@ import pyarrow as pa
 
 SHINGLE = 5
 #: Bytes of text that are held as arrays at a time; a longer text is one piece of its own.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 18
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
