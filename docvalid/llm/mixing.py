@@ -46,7 +46,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: int)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies, digest) for every row of ``docs``.
+    """(doc_id, size, source_size, target, taken, copies, digest, source) for every row of ``docs``.
 
     size is the text's number of words; taken = size * copies, where copies is 0 to
     ``most``.  A source's taken words differ from its target by half of one
@@ -84,7 +84,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     out = rows.join(plan, rows.source.eqNullSafe(plan.of))
     copies = F.least(F.col("whole") + (F.col("hash") < F.col("below")).cast("long"), F.lit(most))
     out = out.withColumn("copies", copies)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "digest")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "digest", "source")
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The mix itself: each row of ``docs``, with all its columns, as often as ``mix`` takes it."""
+    plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
+    # rows that agree in id, text and source have one hash, and so one number of copies
+    plan = plan.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("source").alias("__source"), F.col("copies").alias("__copies")).distinct()
+    digest = F.md5(F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit("")).cast("binary"))
+    same = docs[f"`{id_col}`"].cast("long").eqNullSafe(plan["__id"]) & (digest == plan["__digest"]) & docs[f"`{source_col}`"].cast("string").eqNullSafe(plan["__source"])
+    taken = docs.join(plan, same).where("__copies > 0")
+    names = [f"`{c}`" for c in docs.columns]
+    return taken.select(*names, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).select(*names)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

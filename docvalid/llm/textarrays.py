@@ -21,7 +21,7 @@ PIECE_BYTES = 1 << 18
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHORT = _rng.integers(1, 2**63, 64, dtype=np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -85,8 +85,8 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, np.searchsorted(at, starts, side="right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the lower-cased words [start, end)."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hashes of the spans [start, end), none empty, lower-cased in A-Z if so asked."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     lengths = ends - starts
@@ -94,7 +94,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     first = np.cumsum(lengths) - lengths
     place = np.arange(total, dtype=np.int64) - np.repeat(first, lengths)
     taken = data[place + np.repeat(starts, lengths)]
-    values = _BYTE[_LOWER[taken]]
+    values = _BYTE[_LOWER[taken] if lower else taken]
     longest = int(lengths.max())
     if longest <= len(_PLACE):
         values *= _PLACE[place]

@@ -180,6 +180,18 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
     return docs.mapInArrow(run, "doc_id long, score double")
 
 
+def keep_clean(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below 0.5, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.scores(batch.column(at)) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``.
 
