@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import tidy, written
 
 
 class Forest:
@@ -64,7 +64,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     with a null end are left out.
     """
     start = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL")
-    now = written(start.mapInArrow(_local_forest, "a long, b long").distinct(), f"{name}-0")
+    now = written(start.mapInArrow(tidy(_local_forest), "a long, b long").distinct(), f"{name}-0")
     mark, step = None, 0
     while True:
         stats = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import plain, table, written
+from .shared import plain, table, tidy, written
 
 #: A branch below this importance is removed where the host has so many pages with it.
 LOW, PAGES = 0.5, 8
@@ -186,7 +186,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     where the number of blocks there differs between pages.  Contents are counted
     before they meet by host, so that no host's pages gather.
     """
-    each = pages.select("url", "html").mapInArrow(_branches, "host string, path string, content long, blocks long")
+    each = pages.select("url", "html").mapInArrow(tidy(_branches), "host string, path string, content long, blocks long")
     entropy = lambda n: F.log(F.sum(n)) - F.sum(n * F.log(n)) / F.sum(n)
     contents = each.groupBy("host", "path", "content").agg(F.count("*").cast("double").alias("n")).groupBy("host", "path").agg(F.sum("n").cast("long").alias("pages"), entropy(F.col("n")).alias("content"))
     shapes = each.groupBy("host", "path", "blocks").agg(F.count("*").cast("double").alias("n")).groupBy("host", "path").agg(entropy(F.col("n")).alias("shape"))
@@ -223,7 +223,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     per = removed.groupBy("host").agg(F.collect_list("path").alias("low"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     joined = pages.withColumn("host", host).join(F.broadcast(per) if few else per, "host", "left")
-    return joined.select("page_id", "url", "html", "low").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "low").mapInArrow(tidy(_texts), "page_id long, url string, text string, n_chars long")
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

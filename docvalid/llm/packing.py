@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .shared import plain, quick_partitions, table, written
+from .shared import plain, quick_partitions, table, tidy, written
 
 SEQUENCE, END, OPEN = 1024, 2, 1024
 #: Pieces that a task packs, about; beyond them its open sequences are no loss.
@@ -41,7 +41,7 @@ class Ids:
     """
 
     def __init__(self, path: str) -> None:
-        self.slow = Tokenizer.from_file(path)
+        self.path, self._slow = path, None
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         self.added = [t["content"] for t in said["added_tokens"]]
@@ -54,6 +54,12 @@ class Ids:
         if plainly and merged == sorted(merged):
             self.fast = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @property
+    def slow(self) -> Tokenizer:
+        if self._slow is None:
+            self._slow = Tokenizer.from_file(self.path)
+        return self._slow
+
     def of(self, text: str) -> np.ndarray:
         if self.fast is None or any(t in text for t in self.added) or (len(text) >= 2000 and RUN.search(text)):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -136,11 +142,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     empty table gives an empty result; other columns are left out.
     """
     docs = plain(docs, doc_id=docs[f"`{id_col}`"].cast("long"), text=docs[f"`{text_col}`"].cast("string"))
-    pieces = written(docs.mapInArrow(_pieces(tokenizer, sequence, end), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    pieces = written(docs.mapInArrow(tidy(_pieces(tokenizer, sequence, end)), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
     mark = F.xxhash64("doc_id", "piece", "ids_crc32")
     tasks = quick_partitions(docs.sparkSession, pieces.count(), PIECES)
     dealt = pieces.withColumn("mark", mark).repartition(tasks, "mark").sortWithinPartitions("mark", "doc_id", "piece", "start", "ids_crc32").drop("mark")
-    return dealt.mapInArrow(_packed(sequence, most), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return dealt.mapInArrow(tidy(_packed(sequence, most)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

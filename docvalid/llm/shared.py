@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Java's pattern for what separates words: space and 0x09-0x0D.
 SEPARATORS = r"[\x20\x09-\x0D]+"
+BATCH_ROWS = 2000
 
 _written: dict[str, SparkSession] = {}
 
@@ -19,8 +23,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets Arrow hand over at most BATCH_ROWS rows at once, which may be long texts, if the session says nothing less."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which a worker gives freed memory back: Spark keeps its workers for later tasks."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # not glibc
+            return
+
+    return tidied
+
+
 def plain(df: DataFrame, **columns: str | Column) -> DataFrame:
     """Only the named columns, under names of our own: others, and those that clash with ours, are gone."""
+    small_batches(df.sparkSession)
     return df.select(*[(df[f"`{c}`"] if isinstance(c, str) else c).alias(name) for name, c in columns.items()])
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import plain, table
+from .shared import plain, table, tidy
 from .textarrays import pieces, string_buffers, word_hashes
 
 #: 32 bytes a chunk on average, MOST at most; WINDOW bytes decide on a cut.
@@ -197,13 +197,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = plain(docs, doc_id=docs[f"`{id_col}`"].cast("long"), text=docs[f"`{text_col}`"].cast("string")).withColumn("key", F.xxhash64("text"))
     rows = docs.select("doc_id", "key", "text").where("length(text) > 0")
-    rows = rows.mapInArrow(_chunks, "digest long, doc long, key long, start int, length int, known boolean, more boolean, first long")
+    rows = rows.mapInArrow(tidy(_chunks), "digest long, doc long, key long, start int, length int, known boolean, more boolean, first long")
     to = F.when(F.col("known"), F.xxhash64("doc", "start")).otherwise(F.col("digest"))
     rows = rows.repartition(to).sortWithinPartitions("known", "digest", "doc", "key", "start")
-    found = rows.mapInArrow(_repeated, "doc long, key long, start int, length int, is_first boolean, origin long")
+    found = rows.mapInArrow(tidy(_repeated), "doc long, key long, start int, length int, is_first boolean, origin long")
     found = found.groupBy("doc", "key").agg(F.collect_set(F.struct("start", "length", "is_first", "origin")).alias("found"))
     named = docs.withColumn("doc", F.coalesce("doc_id", F.lit(-(2**63)).cast("long")))
-    return named.join(found, ["doc", "key"], "left").select("doc_id", "text", "found").mapInArrow(_removed, "doc_id long, text string, n_removed long, n_repeated long, spans array<struct<start:bigint,length:bigint,first_doc:bigint>>")
+    return named.join(found, ["doc", "key"], "left").select("doc_id", "text", "found").mapInArrow(tidy(_removed), "doc_id long, text string, n_removed long, n_repeated long, spans array<struct<start:bigint,length:bigint,first_doc:bigint>>")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

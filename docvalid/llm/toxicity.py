@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import plain, table
+from .shared import plain, table, tidy
 from .textarrays import pieces, string_buffers, word_hashes, words
 
 BITS = 20
@@ -70,7 +70,7 @@ class Machine:
             for first, last in pieces(at):
                 low, high = at[first], at[last]
                 documents, terms = document_terms(data[low:high], at[first : last + 1] - low)
-                inputs = self.place[terms]
+                inputs = self.place[terms].astype(np.int64)
                 held = inputs >= 0
                 pairs = np.unique(documents[held] * len(self.value) + inputs[held])
                 d, i = pairs // len(self.value), pairs % len(self.value)
@@ -85,7 +85,7 @@ class Machine:
 def fit(terms: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     """The machine of documents given as their distinct terms, by Adam on the logistic loss."""
     size = 1 << BITS
-    place, n, positive = np.full(size, -1, np.int64), len(labels), int(labels.sum())
+    place, n, positive = np.full(size, -1, np.int16), len(labels), int(labels.sum())
     rate = np.clip((positive + 0.5) / (n + 1), 1e-3, 1 - 1e-3)
     empty = Machine(place, np.zeros(0), np.zeros(0), np.zeros((0, FACTORS)), float(np.log(rate / (1 - rate))))
     if not 0 < positive < n:
@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(TRAINING)
     texts = plain(docs, doc_id=docs[f"`{id_col}`"].cast("long"), text=docs[f"`{text_col}`"].cast("string"))
     found = texts.join(F.broadcast(chosen), texts.doc_id == chosen.id).select("text", "toxic")
-    rows = found.mapInArrow(_training_terms, "terms array<int>, toxic int").toArrow()
+    rows = found.mapInArrow(tidy(_training_terms), "terms array<int>, toxic int").toArrow()
     order = []
     for batch in rows.to_batches():
         lists, toxic = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
@@ -177,7 +177,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(batch.column(1)))], ["doc_id", "score"])
 
-    return docs.mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
@@ -189,7 +189,7 @@ def keep_clean(docs: DataFrame, machine: Machine, text_col: str = "text") -> Dat
         for batch in batches:
             yield batch.filter(pa.array(shared.value.scores(batch.column(at)) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:

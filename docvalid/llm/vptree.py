@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import plain, quick_partitions, table, written
+from .shared import plain, quick_partitions, table, tidy, written
 
 #: Rows of a shard and queries of a task, about; a leaf's points; how strongly subtrees are passed over.
 SHARD, QUERIES, LEAF, FACTOR = 16_384, 65_536, 128, 1.05
@@ -155,7 +155,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, every: int = 2
     rows = every_group.select(place(F.col("s"), F.col("g")).alias("place"), F.lit(False).alias("asks"), "id", "vector")
     rows = rows.union(every_shard.select(place(F.col("s"), F.col("g")).alias("place"), F.lit(True).alias("asks"), "id", "vector"))
     rows = rows.repartition(F.col("place")).sortWithinPartitions("place", "asks", "id")
-    found = rows.mapInArrow(_search(k, factor, float(stats.greatest or 0.0)), "query_id long, vec_id long, score double")
+    found = rows.mapInArrow(tidy(_search(k, factor, float(stats.greatest or 0.0))), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
