@@ -188,11 +188,15 @@ def choice_rule() -> Column:
     return _if(F.col("choice_count") != 1, _key(5, 0), "E24", _say("Choice error: Expected exactly one of [", F.col("choice_names"), "], but found ", _count("choice_count"), "."))
 
 
+def _custom(turn: int) -> Callable[[Column, Column], Column]:
+    return lambda message, i: F.struct(_key(5, turn, i).alias("order_key"), F.lit("custom").alias("code"), message.alias("message"))
+
+
 def _own_rules() -> list[Column]:
     out = []
     for k, rule in enumerate(list(_registered.values())):
         said = F.coalesce(rule(F.col("name"), F.col("text"), F.col("attrs")), F.array().cast("array<string>"))
-        out.append(F.transform(said, lambda m, i, k=k: F.struct(_key(5, 1 + k, i).alias("order_key"), F.lit("custom").alias("code"), m.alias("message"))))
+        out.append(F.transform(said, _custom(1 + k)))
     return out
 
 

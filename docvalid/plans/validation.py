@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.rules import violations_of
@@ -11,8 +11,14 @@ from ..schema.compiler import compile_schema
 
 
 def _marked(df: DataFrame, xsd: str, xml_col: str, id_cols: list[str]) -> DataFrame:
+    """The errors, with all id columns in one named row_id, where none of their names can clash with ours."""
     schema = compile_schema(xsd)
-    return violations_of(bind(df, schema, xml_col, id_cols), schema, id_cols)
+    docs = df.select(F.struct(*[df[f"`{c}`"] for c in id_cols]).alias("row_id"), df[f"`{xml_col}`"].alias("xml"))
+    return violations_of(bind(docs, schema, "xml", ["row_id"]), schema, ["row_id"])
+
+
+def _ids(id_cols: list[str]) -> list[Column]:
+    return [F.col("row_id").getField(c).alias(c) for c in id_cols]
 
 
 def violations(df: DataFrame, xsd: str, xml_col: str = "xml", id_cols: list[str] | None = None) -> DataFrame:
@@ -22,7 +28,7 @@ def violations(df: DataFrame, xsd: str, xml_col: str = "xml", id_cols: list[str]
     """
     ids = ["doc_id"] if id_cols is None else id_cols
     rows = _marked(df, xsd, xml_col, ids).where("code IS NOT NULL")
-    return rows.select(*[f"`{c}`" for c in ids], "order_key", "code", "message")
+    return rows.select(*_ids(ids), "order_key", "code", "message")
 
 
 def validate(df: DataFrame, xsd: str, xml_col: str = "xml", id_cols: list[str] | None = None) -> DataFrame:
@@ -37,10 +43,10 @@ def validate(df: DataFrame, xsd: str, xml_col: str = "xml", id_cols: list[str] |
     rows = _marked(df, xsd, xml_col, ids)
     said = F.when(F.col("code").isNotNull(), F.struct("order_key", "message"))
     fatal = F.min(F.when(F.col("fatal"), F.struct("order_key", "message")))["message"]
-    groups = rows.groupBy("row_part", "row_number", *[f"`{c}`" for c in ids])
+    groups = rows.groupBy("row_part", "row_number", "row_id")
     found = groups.agg(F.transform(F.array_sort(F.collect_list(said)), lambda e: e["message"]).alias("all"), fatal.alias("fatal"))
     errors = F.when(F.col("fatal").isNotNull(), F.array("fatal")).otherwise(F.col("all"))
-    return found.select(*[f"`{c}`" for c in ids], (F.size(errors) == 0).alias("valid"), errors.alias("errors"))
+    return found.select(*_ids(ids), (F.size(errors) == 0).alias("valid"), errors.alias("errors"))
 
 
 def validate_text(spark: SparkSession, xml: str, xsd: str) -> tuple[bool, list[str]]:
