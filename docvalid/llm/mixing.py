@@ -91,12 +91,13 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """The mix itself: each row of ``docs``, with all its columns, as often as ``mix`` takes it."""
     plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
     # rows that agree in id, text and source have one hash, and so one number of copies
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("source").alias("__source"), F.col("copies").alias("__copies")).distinct()
-    digest = F.md5(F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit("")).cast("binary"))
-    same = docs[f"`{id_col}`"].cast("long").eqNullSafe(plan["__id"]) & (digest == plan["__digest"]) & docs[f"`{source_col}`"].cast("string").eqNullSafe(plan["__source"])
-    taken = docs.join(plan, same).where("__copies > 0")
-    names = [f"`{c}`" for c in docs.columns]
-    return taken.select(*names, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).select(*names)
+    plan = plan.select("doc_id", "digest", "source", "copies").distinct().where("copies > 0")
+    text = F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit("")).cast("binary")
+    # the row as one column, so that no name of its own can clash with ours
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{id_col}`"].cast("long").alias("id"), F.md5(text).alias("md5"), docs[f"`{source_col}`"].cast("string").alias("of"))
+    taken = rows.join(plan, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("md5") == F.col("digest")) & F.col("of").eqNullSafe(F.col("source")))
+    taken = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return taken.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,20 +206,20 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> Dat
     save one named n_replaced, whose place the number takes.  Rows are independent:
     repeated ones get the same result, and an empty table gives an empty one.
     """
-    text = docs[f"`{text_col}`"]
+    text = docs[f"`{text_col}`"].cast("string")
+    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)))
+    # the row as one column, so that no name of its own can clash with ours
+    held = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), text.alias("text"), found.alias("found"))
+    held = held.withColumn("new", F.when(F.size("found") > 0, F.transform("found", lambda m: pseudonym(m, key))))
+
     def joined(new: Column) -> Column:
-        return F.array_join(F.zip_with(F.split(text, ANY, -1), new, lambda gap, v: F.concat(gap, F.coalesce(v, F.lit("")))), "")
+        return F.array_join(F.zip_with(F.split("text", ANY, -1), new, lambda gap, v: F.concat(gap, F.coalesce(v, F.lit("")))), "")
 
     matches = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)))
-    rest = [docs[f"`{c}`"] for c in docs.columns if c.lower() not in (text_col.lower(), "n_replaced")]
-    held = docs.select(*rest, text.alias("__text"), matches.alias("__found"))
-    text = F.col("__text")
-    changed = F.transform(F.col("__found"), lambda m: pseudonym(m, key))
-    held = held.withColumn("__new", F.when(F.size("__found") > 0, changed))
-    new_text = F.when(F.col("__new").isNotNull(), joined(F.col("__new"))).otherwise(text)
-    count = F.when(F.col("__new").isNotNull(), F.size(F.filter(F.zip_with("__found", "__new", lambda a, b: a != b), lambda x: x))).otherwise(F.lit(0)).cast("bigint")
-    names = {text_col.lower(): new_text.alias(text_col)}
-    return held.select(*[names.get(c.lower(), F.col(f"`{c}`")) for c in docs.columns if c.lower() != "n_replaced"], count.alias("n_replaced"))
+    new_text = F.when(F.col("new").isNotNull(), joined(F.col("new"))).otherwise(F.col("text"))
+    count = F.when(F.col("new").isNotNull(), F.size(F.filter(F.zip_with("found", "new", lambda a, b: a != b), lambda x: x))).otherwise(F.lit(0)).cast("bigint")
+    kept = [c for c in docs.columns if c.lower() != "n_replaced"]
+    return held.select(*[new_text.alias(c) if c.lower() == text_col.lower() else F.col("row").getField(c).alias(c) for c in kept], count.alias("n_replaced"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,6 +81,11 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sent(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
     digest, doc, key, start, length = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((start, key, doc, digest))
+    once = np.ones(len(order), bool)  # a row that is repeated is one document
+    for x in (digest, doc, key, start):
+        once[1:] &= x[order][1:] == x[order][:-1]
+    once[1:] = ~once[1:]
+    order = order[once]
     digest, doc, key, start, length = (x[order] for x in (digest, doc, key, start, length))
     new = np.ones(len(digest), bool)
     new[1:] = digest[1:] != digest[:-1]
@@ -95,11 +100,21 @@ def _sent(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows in the order of (known, digest, doc, key, start): the repeated ones, and whether each is its digest's first."""
     rest: list[np.ndarray] | None = None
-    last: tuple[int, int] | None = None  # the last digest that is through, and its first document
+    last: tuple[int, ...] | None = None  # of the last row that is through: digest, its first document, and where the row stands
 
     def made(x: list[np.ndarray], whole: bool) -> tuple[pa.RecordBatch | None, list[np.ndarray]]:
         nonlocal last
+        same = np.zeros(len(x[0]), bool)
+        same[1:] = True
+        for c in x[:4]:
+            same[1:] &= c[1:] == c[:-1]
+        same[0] = last is not None and last[0] == x[0][0] and last[2:] == (x[1][0], x[2][0], x[3][0])
+        same &= ~x[5]
+        if same.any():  # the same document from another task
+            x = [c[~same] for c in x]
         digest, doc, key, start, length, known, more, first = x
+        if not len(digest):
+            return None, x
         new = np.ones(len(digest), bool)
         new[1:] = digest[1:] != digest[:-1]
         follows = last is not None and last[0] == digest[0]
@@ -117,7 +132,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_first = new & ~known
         take = np.flatnonzero((~single | more | known)[:end])
         if end and not known[end - 1]:
-            last = (int(digest[end - 1]), int(origin[end - 1]))
+            last = (int(digest[end - 1]), int(origin[end - 1]), int(doc[end - 1]), int(key[end - 1]), int(start[end - 1]))
         out = None
         if len(take):
             out = pa.RecordBatch.from_arrays([pa.array(c[take]) for c in (doc, key, start, length, is_first, origin)], ["doc", "key", "start", "length", "is_first", "origin"])
@@ -139,7 +154,11 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def runs(found: list[tuple[int, int, bool, int]]) -> tuple[list[tuple[int, int, int]], int]:
     """The spans (start, length, first document) to remove, and the bytes of runs that stand elsewhere too, as first or later."""
-    found = sorted(found)
+    at: dict[int, tuple[int, int, bool, int]] = {}
+    for start, length, is_first, origin in sorted(found):  # two tasks may tell of one chunk
+        before = at.get(start, (start, length, False, origin))
+        at[start] = (start, length, is_first or before[2], min(origin, before[3]))
+    found = list(at.values())
     spans: list[tuple[int, int, int]] = []
     shared = 0
     a = 0
@@ -188,7 +207,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, text, n_removed, n_repeated, spans) for every row of ``docs``.
 
     text is without the spans (start and length in UTF-8 bytes of the whole text, and
-    the document that keeps the passage); n_removed are their bytes, n_repeated those
+    an earlier document, or this, that has what begins there); n_removed are their bytes, n_repeated those
     of all runs of LEAST_RUN bytes and more whose chunks stand elsewhere too, be they
     the first or not.  A null text stays null, and an empty one empty.  Rows that agree
     in id and text are one document; rows without an id come first.  A passage that a
