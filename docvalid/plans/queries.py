@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.shred import shred
+from ..sources.documents import spread
 from ..streaming.validate import validate_stream
 from .validation import validate, violations
 
@@ -59,6 +60,7 @@ class Query:
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = read(spark, sf_dir, self.table).selectExpr(f"CAST({self.doc_id} AS BIGINT) AS doc_id", f"{self.xml} AS xml")
+        docs = spread(docs, f"{sf_dir}/{self.table}.parquet")
         return shown(validate(docs, self.xsd))
 
     def sql(self) -> str:
@@ -78,10 +80,11 @@ def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "concat('<line><qty>', CAST(CAST(l_quantity AS DECIMAL(18,2)) AS STRING), '</qty></line>') AS line")
     lines = lines.groupBy("l_orderkey").agg(F.array_join(F.collect_list("line"), "").alias("lines"))
     orders = read(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return orders.selectExpr(
+    docs = orders.selectExpr(
         "CAST(o_orderkey AS BIGINT) AS doc_id",
         "concat('<order key=\"', o_orderkey, '\"><status>', o_orderstatus, '</status>', CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE concat('<total>', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING), '</total>') END, '<date>', CASE WHEN o_orderkey % 7 = 0 THEN date_format(o_orderdate, 'dd/MM/yyyy') ELSE date_format(o_orderdate, 'yyyy-MM-dd') END, '</date>', coalesce(lines, ''), '</order>') AS xml",
     )
+    return spread(docs, f"{sf_dir}/orders.parquet", f"{sf_dir}/lineitem.parquet")
 
 
 LINE_COUNTS = "(SELECT o.*, (SELECT count(*) FROM lineitem WHERE l_orderkey = o.o_orderkey) AS n FROM orders o)"

@@ -52,3 +52,22 @@ def register_sql(spark: SparkSession, df: DataFrame, xsd: str, xml_col: str = "x
     shred(df, xml_col, id_cols).createOrReplaceTempView("nodes")
     violations(df, xsd, xml_col, id_cols).createOrReplaceTempView("violations")
     spark.udtf.register("shred_xml", ShredXml)
+
+
+#: Bytes of files for each of the cluster's cores up to which documents are dealt out anew.
+SMALL = 16 << 20
+
+
+def spread(docs: DataFrame, *paths: str) -> DataFrame:
+    """docs, dealt out to all cores where the files they come from are so small that a few tasks would read them.
+
+    Parsing takes far longer than the exchange of a little text.  Files of more than
+    SMALL bytes a core give enough tasks by themselves, and then nothing is shuffled.
+    """
+    spark = docs.sparkSession
+    conf, total = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        total += at.getFileSystem(conf).getContentSummary(at).getLength()
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if total <= SMALL * cores else docs
