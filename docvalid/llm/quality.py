@@ -154,4 +154,60 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    """The rules on all documents; distances to six places, as two engines may add in different orders."""
+    judged = quality_rules(table(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
+
+
+ORACLE_SQL = r"""
+WITH rows_ AS (
+  SELECT row_number() OVER () AS id, doc_id, lang, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), lists(lang, list) AS (
+  VALUES {lists}
+), words_ AS (
+  SELECT id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM rows_
+), windows_ AS (
+  SELECT id, word, i, lead(word) OVER w AS second, lead(word, 2) OVER w AS third FROM words_ WINDOW w AS (PARTITION BY id ORDER BY i)
+), twice AS (
+  SELECT id, i, third IS NOT NULL AND count(*) OVER (PARTITION BY id, word, second, third) > 1 AS found FROM windows_
+), covered AS (
+  SELECT id, found OR coalesce(lag(found) OVER w, false) OR coalesce(lag(found, 2) OVER w, false) AS within FROM twice WINDOW w AS (PARTITION BY id ORDER BY i)
+), repeated AS (
+  SELECT id, count(*) FILTER (within) AS n FROM covered GROUP BY id
+), base AS (
+  SELECT r.*, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(length(text) AS BIGINT) AS n_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+    list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines,
+    len(regexp_extract_all(text, '\p{{Lu}}')) AS upper_, len(regexp_extract_all(text, '[0-9]')) AS digits,
+    len(regexp_extract_all(text, '[.,;:!?''"()\[\]{{}}/_=+@^~`\\-]')) AS marks
+  FROM rows_ r LEFT JOIN repeated USING (id)
+), judged AS (
+  SELECT *, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    n_words < {least} OR 100 * n_repeat_words > {repeated} * n_words AS base_failed FROM base
+), counts AS (
+  SELECT id, lang, base_failed, 'chars' AS kind, unnest([word_chars - upper_ - digits - marks - n_symbols, upper_, digits, marks, n_symbols, n_chars - word_chars]) AS n, unnest(range(6)) AS k FROM judged
+), found AS (
+  SELECT j.id, j.lang, base_failed, n_words, unnest(list) AS word, unnest(range(len(list))) AS k FROM judged j JOIN lists l ON l.lang = j.lang
+), known AS (
+  SELECT f.id, f.lang, base_failed, n_words, f.k, count(w.word) AS n FROM found f LEFT JOIN words_ w ON w.id = f.id AND w.word = f.word GROUP BY ALL
+), histograms AS (
+  SELECT id, lang, base_failed, kind, k, n FROM counts
+  UNION ALL SELECT id, lang, base_failed, 'words', k, n FROM known
+  UNION ALL SELECT id, lang, base_failed, 'words', 99, n_words - sum(n) FROM known GROUP BY id, lang, base_failed, n_words
+), refs AS (
+  SELECT lang, kind, k, sum(n) AS n FROM histograms WHERE NOT base_failed GROUP BY ALL
+), shares AS (
+  SELECT h.id, h.kind, CAST(h.n AS DOUBLE) / nullif(sum(h.n) OVER of, 0) AS p, CAST(r.n AS DOUBLE) / nullif(sum(r.n) OVER of, 0) AS q
+  FROM histograms h JOIN refs r ON r.kind = h.kind AND r.k = h.k AND r.lang IS NOT DISTINCT FROM h.lang WINDOW of AS (PARTITION BY h.id, h.kind)
+), distances AS (
+  SELECT id, kind, sqrt(greatest(0.0, least(1.0, sum((CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)))) AS d
+  FROM shares WHERE p IS NOT NULL AND q IS NOT NULL GROUP BY id, kind
+), both_ AS (
+  SELECT j.*, CASE WHEN n_chars >= {chars} THEN c.d END AS char_distance, CASE WHEN n_words >= {common} THEN w.d END AS word_distance
+  FROM judged j LEFT JOIN distances c ON c.id = j.id AND c.kind = 'chars' LEFT JOIN distances w ON w.id = j.id AND w.kind = 'words'
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(char_distance, 0) <= {far_chars} AND coalesce(word_distance, 0) <= {far_words} AS kept,
+  round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance FROM both_
+""".format(lists=", ".join(f"('{lang}', {words})" for lang, words in COMMON_WORDS.items()), least=MIN_WORDS, repeated=MOST_REPEATED, chars=MIN_CHARS, common=MIN_COMMON, far_chars=MOST_CHAR_DISTANCE, far_words=MOST_WORD_DISTANCE)
