@@ -4,9 +4,18 @@ All pages of a host are merged into one tree, a node for each path of elements (
 their class and id).  A node's importance is the entropy of what its pages show there,
 as a share of the greatest that so many pages could have: near 0 for the same few
 texts or the same presentation everywhere, near 1 for what differs from page to page.
-Elements whose name or class says what they are (menus, headers, footers, adverts,
-forms, comments) have importance 0, an article's or main element's text has 1.  A page's
-text are the blocks whose branches are important.
+All blocks that are displayed go through the tree; names only lower an importance:
+
+- strong ones (menu, footer, aside and form elements, such roles, and classes of adverts,
+  comments and recommendations, which differ from page to page by nature) multiply it
+  by the share of the page's text that the named element holds;
+- weak ones (classes of layout parts, and a place outside the page's article or main
+  element) by WEAK, or that share if it is more.
+
+Where a host has too few pages of a branch, the shares alone decide.  A class reaches
+into no article or main element, save those that name comments, adverts and
+recommendations, which reach into articles.  A page's text are the blocks whose
+branches are important.
 """
 
 from __future__ import annotations
@@ -14,7 +23,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -25,6 +34,8 @@ from .shared import plain, table, tidy, written
 
 #: A branch below this importance is removed where the host has so many pages with it.
 LOW, PAGES = 0.5, 8
+#: What a weak name leaves of a branch's importance.
+WEAK = 0.6
 #: Rows of low branches up to which they are broadcast (about 100 bytes each).
 BROADCAST_ROWS = 100_000
 
@@ -33,8 +44,11 @@ ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "noembed", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "meter", "nobr", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-NOISE = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "head", "fieldset", "object", "canvas", "audio", "video", "figure"} - {"figure"}
-NOISE_WORD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banners?|breadcrumbs?|comments?|replies|disqus|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|footer|menus?|nav|navbar|navigation|newsletter|subscribe|promo\w*|related|recommend\w*|share|sharing|social|sidebar|side|sponsor\w*|widgets?|toolbar|login|signup|skip|masthead|header)(?:$|[\s_-])")
+HIDDEN = {"head", "button", "select", "dialog", "object", "canvas", "audio", "video"}
+NAMED = {"nav", "footer", "aside", "form", "menu", "fieldset"}
+#: Classes of what differs from page to page and is still not the page's own text.
+OTHERS_WORD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|comments?|replies|disqus|promo\w*|related|recommend\w*|sponsor\w*)(?:$|[\s_-])")
+LAYOUT_WORD = re.compile(r"(?:^|[\s_-])(?:banners?|breadcrumbs?|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|footer|menus?|nav|navbar|navigation|newsletter|subscribe|share|sharing|social|sidebar|side|widgets?|toolbar|login|signup|skip|masthead|header)(?:$|[\s_-])")
 NOISE_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "alertdialog"}
 #: What a start tag ends: an open element of these names, up to the nearest of the scope.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -46,6 +60,7 @@ class Element:
     path: str
     noise: bool
     main: bool
+    named: tuple[tuple[str, bool, bool], ...] = ()  #: path, whether strong, whether it reaches into articles
 
 
 @dataclass
@@ -53,6 +68,7 @@ class Block:
     path: str
     noise: bool
     main: bool
+    named: tuple[tuple[str, bool, bool], ...] = ()
     parts: list[str] = field(default_factory=list)
 
     def text(self) -> str:
@@ -63,11 +79,19 @@ def _element(parent: Element, name: str, attributes: str) -> Element:
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
     said = f"{found.get('class', '')} {found.get('id', '')}".lower().strip()
     style = ".".join(sorted(set(said.split())))
-    main = parent.main or name in ("article", "main") or found.get("role", "").lower() == "main"
-    noise = parent.noise or name in NOISE or (name == "header" and not parent.main) or found.get("role", "").lower() in NOISE_ROLE or found.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes) is not None
-    noise = noise or (bool(said) and name not in ("article", "main", "body", "html") and NOISE_WORD.search(said) is not None)
+    role = found.get("role", "").lower()
+    opens = name in ("article", "main") or role == "main"
+    main = bool(parent.main or opens)
+    noise = parent.noise or name in HIDDEN or found.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes) is not None
     noise = noise or re.search(r"display\s*:\s*none", found.get("style", "")) is not None
-    return Element(name, f"{parent.path}/{name}" + (f".{style}" if style else ""), noise, main)
+    plainly = "" if name in ("article", "main", "body", "html") else said
+    element = name in NAMED or (name == "header" and not parent.main) or role in NOISE_ROLE
+    others, layout = OTHERS_WORD.search(plainly) is not None, LAYOUT_WORD.search(plainly) is not None
+    path = f"{parent.path}/{name}" + (f".{style}" if style else "") + ("!" if element or others else "?" if layout else "") + ("=" if role == "main" else "")
+    named = parent.named
+    if element or others or layout:
+        named += ((path, True, True),)
+    return Element(name, path, noise, main, named)
 
 
 def blocks(page: str) -> list[Block]:
@@ -85,15 +109,12 @@ def blocks(page: str) -> list[Block]:
 
     def add(text: str) -> None:
         nonlocal now
-        if now is None:
-            if not text.strip():
-                return
-            h, top = holder(), stack[-1]
-            now = Block(h.path, top.noise, top.main)
-            out.append(now)
-        elif stack[-1].noise != now.noise and text.strip():
-            h, top = holder(), stack[-1]
-            now = Block(h.path, top.noise, top.main)
+        if now is None and not text.strip():
+            return
+        top = stack[-1]
+        if now is None or (top.noise, top.named) != (now.noise, now.named) and text.strip():
+            h = holder()
+            now = Block(h.path if (top.noise, top.named) == (h.noise, h.named) else top.path, top.noise, top.main, top.named)
             out.append(now)
         now.parts.append(text)
 
@@ -160,70 +181,106 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def shown(found: list[Block]) -> dict[str, tuple[list[str], float, float]]:
+    """For each branch that a page's blocks display: its texts, what names leave of its importance, and its share where they alone decide."""
+    texts: dict[str, list[str]] = {}
+    of: dict[str, Block] = {}
+    under: dict[str, int] = {}
+    total = 0
+    for b in found:
+        if b.noise or not (t := b.text()):
+            continue
+        texts.setdefault(b.path, []).append(t)
+        of[b.path] = b
+        total += len(t)
+        for path, _, _ in b.named:
+            under[path] = under.get(path, 0) + len(t)
+    shares = {path: min((under[name] / total for name, _, _ in b.named), default=1.0) for path, b in of.items()}
+    priors = {path: min((under[name] / total if strong else max(under[name] / total, WEAK) for name, strong, _ in b.named), default=1.0) for path, b in of.items()}
+    # inside and outside of article or main elements, of what no name removes
+    sizes = {inside: sum(sum(map(len, texts[path])) for path, b in of.items() if b.main is inside and shares[path] >= LOW) for inside in (True, False)}
+    outside = sizes[False] / max(1, sizes[True] + sizes[False])
+    out = {}
+    for path, b in of.items():
+        prior, alone = priors[path], shares[path]
+        if sizes[True] and not b.main:
+            prior, alone = min(prior, max(outside, WEAK)), min(alone, outside)
+        out[path] = (texts[path], prior, alone)
+    return out
+
+
 def host_of(url: str | None) -> str:
     m = re.match(r"\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
     return m[1].lower() if m else ""
 
 
 def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each page and branch of its tree that shows text: host, path, and digests of the content and of the presentation."""
+    """For each page and branch of its tree that shows text: host, path, digests of the content and of the presentation, and what names say."""
+    kinds = {"host": pa.string(), "path": pa.string(), "content": pa.int64(), "blocks": pa.int64(), "prior": pa.float64(), "alone": pa.float64()}
     for batch in batches:
-        rows: list[tuple[str, str, int, int]] = []
+        rows: list[tuple[str, str, int, int, float, float]] = []
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            host, shown = host_of(url), {}
-            for b in blocks(page or ""):
-                if not b.noise and not b.main:  # the others' importance is known
-                    shown.setdefault(b.path, []).append(b.text())
-            rows += [(host, path, zlib.crc32("\n".join(t).encode()), len(t)) for path, t in shown.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())], ["host", "path", "content", "blocks"])
+            host = host_of(url)
+            rows += [(host, path, zlib.crc32("\n".join(t).encode()), len(t), prior, alone) for path, (t, prior, alone) in shown(blocks(page or "")).items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], list(kinds))
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of the branches of a table (url, html) that no name or class decides.
+    """(host, path, pages, importance, least, most) of the branches of a table (url, html).
 
-    importance: the entropy of the branch's contents over the pages that have it, by
-    the logarithm of their number, halved together with that of its presentation
-    where the number of blocks there differs between pages.  Contents are counted
-    before they meet by host, so that no host's pages gather.
+    importance: the entropy of the branch's contents over the pages that have it, or
+    that of its presentation, the number of blocks there, by the logarithm of their
+    number, times what names leave of it on average.  least and most: the bounds of
+    its share by names alone.  Contents are counted before they meet by host, so that
+    no host's pages gather.
     """
-    each = pages.select("url", "html").mapInArrow(tidy(_branches), "host string, path string, content long, blocks long")
+    each = pages.select("url", "html").mapInArrow(tidy(_branches), "host string, path string, content long, blocks long, prior double, alone double")
     entropy = lambda n: F.log(F.sum(n)) - F.sum(n * F.log(n)) / F.sum(n)
-    contents = each.groupBy("host", "path", "content").agg(F.count("*").cast("double").alias("n")).groupBy("host", "path").agg(F.sum("n").cast("long").alias("pages"), entropy(F.col("n")).alias("content"))
+    contents = each.groupBy("host", "path", "content").agg(F.count("*").cast("double").alias("n"), F.sum("prior").alias("prior"), F.min("alone").alias("least"), F.max("alone").alias("most"))
+    contents = contents.groupBy("host", "path").agg(F.sum("n").cast("long").alias("pages"), entropy(F.col("n")).alias("content"), (F.sum("prior") / F.sum("n")).alias("prior"), F.min("least").alias("least"), F.max("most").alias("most"))
     shapes = each.groupBy("host", "path", "blocks").agg(F.count("*").cast("double").alias("n")).groupBy("host", "path").agg(entropy(F.col("n")).alias("shape"))
     most = F.log(F.col("pages").cast("double"))
-    importance = F.when(F.col("pages") > 1, F.greatest(F.col("content"), F.col("shape")) / most).otherwise(F.lit(1.0))
-    return contents.join(shapes, ["host", "path"]).select("host", "path", "pages", importance.alias("importance"))
+    importance = F.when(F.col("pages") > 1, F.greatest(F.col("content"), F.col("shape")) / most).otherwise(F.lit(1.0)) * F.col("prior")
+    return contents.join(shapes, ["host", "path"]).select("host", "path", "pages", importance.alias("importance"), "least", "most")
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for page, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            found, removed = blocks(page or ""), set(low or ())
-            main = any(b.main and not b.noise for b in found)
-            kept = [b.text() for b in found if not b.noise and (b.main if main else b.path not in removed)]
-            texts.append("\n".join(t for t in kept if t))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+def _texts(low: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for page, said in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                found, decided = blocks(page or ""), {d["path"]: d["keep"] for d in said or ()}
+                named = {path: alone >= low for path, (_, _, alone) in shown(found).items()}
+                kept = [b.text() for b in found if not b.noise and decided.get(b.path, named.get(b.path, False))]
+                if not any(kept):  # the tree leaves nothing of an article whose every page is alike: names alone decide
+                    kept = [b.text() for b in found if not b.noise and b.main and named.get(b.path, False)]
+                texts.append("\n".join(t for t in kept if t))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    return run
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", low: float = LOW, least: int = PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages``.
 
-    A page with an article or main element gives that element's blocks, any other
-    those of its branches of importance ``low`` or more; branches on fewer than
-    ``least`` pages of their host count as important.  Pages without a host, or with a
+    A page gives the blocks of its branches of importance ``low`` or more; where fewer
+    than ``least`` pages of its host have a branch, a name or a place outside the
+    article or main element removes it if it holds less than ``low`` of the text.  A
+    page with such an element of which the tree leaves nothing keeps it.  Pages without a host, or with a
     null url, are merged as one host.  A null or empty html gives an empty text, one
     without tags itself.  Repeated rows count each; an empty table gives an empty
     result; other columns are left out.
     """
     pages = plain(pages, page_id=pages[f"`{id_col}`"].cast("long"), url=pages[f"`{url_col}`"].cast("string"), html=pages[f"`{html_col}`"].cast("string"))
-    tree = style_tree(pages).where((F.col("importance") < low) & (F.col("pages") >= least)).select("host", "path")
-    removed = written(tree, "low-branches")
-    few = removed.count() <= BROADCAST_ROWS
-    per = removed.groupBy("host").agg(F.collect_list("path").alias("low"))
+    keep = F.col("importance") >= low
+    # only where the tree says other than the names alone could
+    tree = style_tree(pages).where((F.col("pages") >= least) & ((~keep & (F.col("most") >= low)) | (keep & (F.col("least") < low)))).select("host", "path", keep.alias("keep"))
+    decided = written(tree, "decided-branches")
+    few = decided.count() <= BROADCAST_ROWS
+    per = decided.groupBy("host").agg(F.collect_list(F.struct("path", "keep")).alias("said"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     joined = pages.withColumn("host", host).join(F.broadcast(per) if few else per, "host", "left")
-    return joined.select("page_id", "url", "html", "low").mapInArrow(tidy(_texts), "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "said").mapInArrow(tidy(_texts(low)), "page_id long, url string, text string, n_chars long")
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

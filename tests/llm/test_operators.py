@@ -475,6 +475,24 @@ def test_style_tree_finds_what_repeats(spark):
     assert "Welcome" not in got[0] and "rights" not in got[0] and got[0].endswith(" 0") and got[100] == "Welcome\nt" and got[101] == "n"
 
 
+def extracted(spark, pages, host="site.org"):
+    rows = [(k, f"https://{host}/{k}", h) for k, h in enumerate(pages)]
+    return [r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_all_blocks_go_through_the_tree(spark):
+    rng = random.Random(14)
+    words = [prose(rng, 40) for _ in range(20)]
+    # a notice inside every article goes, a body beside a teaser stays, what names say stays out
+    got = extracted(spark, [f"<nav>n{k}</nav><article><h1>t{k}</h1><div class='box'>Support us today</div><p>{w}</p></article><div class='ad'>a{k}</div><footer>f{k}</footer>" for k, w in enumerate(words)])
+    assert got == [f"t{k}\n{w}" for k, w in enumerate(words)]
+    got = extracted(spark, [f"<article class='teaser'>s{k}</article><div class='body'>{w}</div><div class='top'>Welcome</div>" for k, w in enumerate(words)])
+    assert got == [f"s{k}\n{w}" for k, w in enumerate(words)]
+    assert extracted(spark, [f"<article>s</article><div class='body'>{words[0]}</div>", f"<article>{words[0]}</article><div class='x'>y</div>"]) == [f"s\n{words[0]}", words[0]]
+    # pages that are all alike keep their article
+    assert extracted(spark, [f"<article>{words[0]}</article><div>x</div>"] * 20) == [words[0]] * 20
+
+
 # --- texts as arrays -----------------------------------------------------------
 
 
