@@ -49,6 +49,8 @@ NAMED = {"nav", "footer", "aside", "form", "menu", "fieldset"}
 #: Classes of what differs from page to page and is still not the page's own text.
 OTHERS_WORD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|comments?|replies|disqus|promo\w*|related|recommend\w*|sponsor\w*)(?:$|[\s_-])")
 LAYOUT_WORD = re.compile(r"(?:^|[\s_-])(?:banners?|breadcrumbs?|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|footer|menus?|nav|navbar|navigation|newsletter|subscribe|share|sharing|social|sidebar|side|widgets?|toolbar|login|signup|skip|masthead|header)(?:$|[\s_-])")
+#: Classes that say what else the page has, or name a part of the text itself.
+NEUTRAL_WORD = re.compile(r"(?:^|(?<=\s))\S*?(?:(?:(?<=[\s_-])|(?<!\S))(?:has|no|with|without)[_-]\S+|(?:(?<=[\s_-])|(?<!\S))(?:entry|post|article|content|story)[_-]+header(?!\S))")
 NOISE_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "alertdialog"}
 #: What a start tag ends: an open element of these names, up to the nearest of the scope.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -84,13 +86,13 @@ def _element(parent: Element, name: str, attributes: str) -> Element:
     main = bool(parent.main or opens)
     noise = parent.noise or name in HIDDEN or found.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes) is not None
     noise = noise or re.search(r"display\s*:\s*none", found.get("style", "")) is not None
-    plainly = "" if name in ("article", "main", "body", "html") else said
+    plainly = "" if name in ("article", "main", "body", "html") else NEUTRAL_WORD.sub(" ", said)
     element = name in NAMED or (name == "header" and not parent.main) or role in NOISE_ROLE
     others, layout = OTHERS_WORD.search(plainly) is not None, LAYOUT_WORD.search(plainly) is not None
     path = f"{parent.path}/{name}" + (f".{style}" if style else "") + ("!" if element or others else "?" if layout else "") + ("=" if role == "main" else "")
-    named = parent.named
+    named = tuple(n for n in parent.named if n[2] and name == "article") if opens else parent.named
     if element or others or layout:
-        named += ((path, True, True),)
+        named += ((path, element or others, element or others),)
     return Element(name, path, noise, main, named)
 
 

@@ -493,6 +493,19 @@ def test_all_blocks_go_through_the_tree(spark):
     assert extracted(spark, [f"<article>{words[0]}</article><div>x</div>"] * 20) == [words[0]] * 20
 
 
+def test_names_only_lower_importance(spark):
+    rng = random.Random(15)
+    words = [prose(rng, 40) for _ in range(20)]
+    wrapped = "<div class='layout {}'><article><div class='entry-header'><h1>T{}</h1></div><p>{}</p><div class='comments'><p>First!</p></div></article></div>"
+    for name in ("has-sidebar", "no-sidebar", "page-with-nav", "sidebar"):
+        assert extracted(spark, [wrapped.format(name, 0, words[0])]) == [f"T0\n{words[0]}"]
+        assert extracted(spark, [wrapped.format(name, k, w) for k, w in enumerate(words)]) == [f"T{k}\n{w}" for k, w in enumerate(words)]
+    # entropy decides on a layout's name, the text's share on an element that holds the page
+    got = extracted(spark, [f"<div class='header'><h1>T{k}</h1></div><div class='menu'>Home</div><p>{w}</p><div class='site-footer'>Legal</div>" for k, w in enumerate(words)])
+    assert got == [f"T{k}\n{w}" for k, w in enumerate(words)]
+    assert extracted(spark, [f"<form><div>{words[0]}</div><nav>x</nav></form><div id='comments'><article>c</article></div>"]) == [words[0]]
+
+
 # --- texts as arrays -----------------------------------------------------------
 
 
