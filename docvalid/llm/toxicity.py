@@ -1,14 +1,18 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A term is a word (lower case in A-Z, without punctuation at its ends) or the first
-4, 5 or 6 bytes of a longer one, hashed to 20 bits.  Terms whose share among toxic
-and other training documents differs clearly are the machine's inputs, each with its
-log ratio as value where a document has it, however often.  The machine is
+4, 5 or 6 bytes of a longer one, hashed to 20 bits.  The machine's inputs are all
+terms of enough training documents, where a document has them, however often: with
+their log ratio as value if their shares among toxic and other documents differ
+clearly, else with 1.  The machine is
 
     bias + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j,
 
 so that a pair of terms, as an insult with the mention of a group, can weigh more or
-less than both alone.  It is fitted on the driver from at most TRAINING labelled
+less than both alone, whatever each alone says.  The clear terms are fitted first,
+then all together, for as many epochs as lower the loss on documents left out of the
+fit; if none does, the other inputs' weights and factors are 0 and are left away.
+It is fitted on the driver from at most TRAINING labelled
 documents; every document is scored from its whole text, on the executors.
 """
 
@@ -32,6 +36,10 @@ TRAINING = 16_000
 #: Inputs, factors, and how clearly a term must differ (twice its log-likelihood ratio) in how many documents.
 INPUTS, FACTORS, CLEAR, LEAST_DOCUMENTS = 1024, 8, 18.0, 4
 EPOCHS, BATCH, RATE, DECAY = 25, 256, 0.02, 1e-4
+#: The fit of all terms: epochs at most and without a gain, documents a step, spread of the first factors, share of the loss that is a gain.
+ALL_EPOCHS, PATIENCE, ALL_BATCH, SPREAD, GAIN = 200, 60, 4096, 0.03, 0.02
+#: Its steps: what is added to a gradient's size makes them small where it is small, as it is for terms that say nothing.
+ALL_RATE, EPSILON = 0.05, 0.05
 
 #: ASCII marks, which a word's ends lose, up to EDGES on either side.
 _EDGE = np.array([33 <= c < 127 and not chr(c).isalnum() for c in range(256)])
@@ -82,10 +90,109 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
+class Slice:
+    """Documents of one step, as the entries of their inputs by document and by input."""
+
+    def __init__(self, inputs: list[np.ndarray], value: np.ndarray, labels: np.ndarray):
+        self.labels, self.column = labels, np.concatenate([*inputs, np.zeros(0, np.int32)]).astype(np.int32)
+        self.row = np.repeat(np.arange(len(inputs), dtype=np.int32), [len(i) for i in inputs])
+        self.x = value[self.column].astype(np.float32)
+        order = np.argsort(self.column, kind="stable")
+        self.by_row, self.by_x = self.row[order], self.x[order]
+        self.columns, self.cuts = np.unique(self.column[order], return_index=True)
+
+    def by_document(self, of_input: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.x * of_input[self.column], len(self.labels))
+
+    def by_input(self, of_document: np.ndarray) -> np.ndarray:
+        """Of the inputs in self.columns."""
+        return np.add.reduceat(self.by_x * of_document[self.by_row].astype(np.float32), self.cuts) if len(self.cuts) else np.zeros(0, np.float32)
+
+    def raw(self, bias: float, weight: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        xv = [self.by_document(v) for v in factors]
+        squares = np.bincount(self.row, self.x**2 * (factors**2).sum(0)[self.column], len(self.labels))
+        return bias + self.by_document(weight) + (sum(s**2 for s in xv) - squares) / 2, xv
+
+
+def _loss(slices: list[Slice], state: list[np.ndarray]) -> float:
+    raw = np.concatenate([s.raw(float(state[0][0]), state[1], state[2])[0] for s in slices])
+    y = np.concatenate([s.labels for s in slices])
+    return float(np.mean(np.logaddexp(0, np.clip(raw, -30, 30)) - y * np.clip(raw, -30, 30)))
+
+
+def _all_terms(base: Machine, terms: list[np.ndarray], labels: np.ndarray, seed: int) -> tuple[Machine, list[Slice], np.random.Generator]:
+    """base with all terms of enough documents as inputs, and its documents in steps."""
+    rng, counts = np.random.default_rng(seed), np.zeros(1 << BITS)
+    for t in terms:
+        counts[t] += 1
+    more = np.flatnonzero((counts >= LEAST_DOCUMENTS) & (base.place < 0))
+    place = base.place.copy()
+    place[more] = len(base.value) + np.arange(len(more))
+    value = np.concatenate([base.value, np.ones(len(more))])
+    weight = np.concatenate([base.weight, np.zeros(len(more))]).astype(np.float32)
+    factors = np.concatenate([base.factors, np.zeros((len(more), FACTORS))]).astype(np.float32)
+    slices, order = [], rng.permutation(len(terms))
+    for a in range(0, len(terms), ALL_BATCH):
+        rows = order[a : a + ALL_BATCH]
+        slices.append(Slice([(f := place[terms[r]])[f >= 0] for r in rows], value, labels[rows]))
+    return Machine(place, value, weight, factors, base.bias), slices, rng
+
+
+def _fit_all(machine: Machine, slices: list[Slice], rng: np.random.Generator, epochs: int):
+    """The state (bias, weights, factors by factor) after each of so many epochs by Adam over all terms."""
+    factors = np.ascontiguousarray(machine.factors.T)
+    factors = np.where(factors == 0, rng.normal(0, SPREAD, factors.shape), factors).astype(np.float32)
+    state = [np.array([machine.bias], np.float32), machine.weight.copy(), factors]
+    first, second, step = [np.zeros_like(s) for s in state], [np.zeros_like(s) for s in state], 0
+    for _ in range(epochs):
+        for k in rng.permutation(len(slices)):
+            one = slices[k]
+            bias, weight, factors = state
+            raw, xv = one.raw(float(bias[0]), weight, factors)
+            error = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - one.labels) / len(one.labels)
+            grads = [np.array([error.sum()], np.float32), DECAY * weight, DECAY * factors]
+            grads[1][one.columns] += one.by_input(error)
+            squares = np.add.reduceat(one.by_x**2 * error[one.by_row].astype(np.float32), one.cuts) if len(one.cuts) else 0
+            for f, s in enumerate(xv):
+                grads[2][f, one.columns] += one.by_input(error * s) - factors[f, one.columns] * squares
+            step += 1
+            for j, g in enumerate(grads):
+                first[j] += 0.1 * (g - first[j])
+                second[j] += 0.001 * (g * g - second[j])
+                state[j] = state[j] - ALL_RATE * (first[j] / (1 - 0.9**step)) / (np.sqrt(second[j] / (1 - 0.999**step)) + EPSILON)
+        yield state
+
+
 def fit(terms: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     """The machine of documents given as their distinct terms, by Adam on the logistic loss."""
+    n, out = len(labels), fit_clear(terms, labels, seed)
+    if not 0 < labels.sum() < n:
+        return out
+    left_out = np.random.default_rng(seed).permutation(n) % 5 == 0
+    kept = [t for t, o in zip(terms, left_out) if not o]
+    machine, slices, rng = _all_terms(fit_clear(kept, labels[~left_out], seed), kept, labels[~left_out], seed)
+    test = [Slice([(f := machine.place[t])[f >= 0] for t, o in zip(terms, left_out) if o], machine.value, labels[left_out])]
+    least = _loss(test, [np.array([machine.bias]), machine.weight, machine.factors.T]) * (1 - GAIN)
+    best = 0
+    for epoch, state in enumerate(_fit_all(machine, slices, rng, ALL_EPOCHS), 1):
+        loss = _loss(test, state)
+        if loss < least:
+            best, least = epoch, loss
+        elif epoch >= best + PATIENCE:
+            break
+    del machine, slices, test
+    if not best:
+        return out
+    machine, slices, rng = _all_terms(out, terms, labels, seed)
+    for state in _fit_all(machine, slices, rng, best):
+        pass
+    return Machine(machine.place, machine.value, state[1], np.ascontiguousarray(state[2].T), float(state[0][0]))
+
+
+def fit_clear(terms: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
+    """The machine of the clear terms alone."""
     size = 1 << BITS
-    place, n, positive = np.full(size, -1, np.int16), len(labels), int(labels.sum())
+    place, n, positive = np.full(size, -1, np.int32), len(labels), int(labels.sum())
     rate = np.clip((positive + 0.5) / (n + 1), 1e-3, 1 - 1e-3)
     empty = Machine(place, np.zeros(0), np.zeros(0), np.zeros((0, FACTORS)), float(np.log(rate / (1 - rate))))
     if not 0 < positive < n:

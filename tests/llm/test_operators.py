@@ -333,6 +333,35 @@ def test_pairs_weigh():
     assert max(single) < 0 < m.bias + float(m.weight[at] @ x) + pair
 
 
+@pytest.mark.parametrize("kind", ["every toxic and 40 % of clean", "equally often"])
+def test_terms_that_matter_in_pairs(kind):
+    """A group mention that separates nothing alone decides together with an insult."""
+    rng = np.random.default_rng(10)
+
+    def drawn(n):
+        terms, labels = [], []
+        for _ in range(n):
+            if kind == "equally often":  # 1 is toxic with the group 2 only, 3 without it only
+                group, which = rng.random() < 0.5, rng.random()
+                insult, other = which < 0.4, 0.4 <= which < 0.8
+                toxic = insult and group or other and not group
+            else:
+                toxic, other = rng.random() < 0.2, False
+                insult, group = toxic or rng.random() < 0.2, toxic or rng.random() < 0.4
+                insult = insult and (toxic or not group)
+            terms.append(np.unique(np.array([1] * insult + [2] * group + [3] * other + rng.integers(10, 500, 30).tolist(), np.int64)))
+            labels.append(float(toxic))
+        return terms, np.array(labels)
+
+    m = toxicity.fit(*drawn(3000))
+    right, (terms, labels) = 0, drawn(500)
+    for t, y in zip(terms, labels):
+        f = m.place[t][m.place[t] >= 0]
+        x, vx = m.value[f], m.factors[f] * m.value[f][:, None]
+        right += (m.bias + m.weight[f] @ x + (vx.sum(0) ** 2 - (vx**2).sum(0)).sum() / 2 > 0) == y
+    assert m.place[2] >= 0 and right > 0.97 * len(labels)
+
+
 # --- pseudonyms ----------------------------------------------------------------
 
 
