@@ -28,8 +28,13 @@ IPV4 = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)"
 DATE = r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}[/.]\d{2}[/.]\d{4})(?![\w/-]|\.\d)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 PHONE = r"(?<!\w)\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)"
-CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"
-ANY = "|".join((EMAIL, IPV4, DATE, SSN, PHONE, CARD))
+#: No letter follows a group of digits, nor the groups that hyphens tie to it.
+_ENDS = r"(?!(?:-\d++)*+[\w-])"
+#: Groups of digits, 13 digits at least, up to one that begins another kind's value; which of them are cards, _cards decides.
+RUN = rf"(?<![\w.-])(?=\d(?:[ -]?\d){{12}})\d++{_ENDS}(?:[ -](?!{EMAIL}|{IPV4}|{DATE}|{SSN})\d++{_ENDS})*+"
+ANY = "|".join((EMAIL, IPV4, DATE, SSN, PHONE, RUN))
+#: Cards as they are mostly written: these go before other spans of a run.
+CARD_FORM = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})$"
 
 #: The first day of the dates that are permuted, and their number: 1900-01-01 to 2099-12-31.
 FIRST_DAY, DAYS = -25567, 73049
@@ -113,11 +118,51 @@ def _card(m: Column, key: str) -> Column:
     def of(d: Column) -> Column:
         body = permute_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
         whole = let(body, lambda b: F.concat(b, F.pmod(10 - luhn_sum(b, 0) % 10, F.lit(10)).cast("string")))
-        return F.when(luhn_sum(d, 1) % 10 == 0, put_digits(m, whole)).otherwise(m)
+        return put_digits(m, whole)
 
     return let(only_digits(m), of)
 
 
+def _cards(run: Column, key: str) -> Column:
+    """struct(text, n): a run of groups of digits, with pseudonyms for the n cards in it.
+
+    Cards are the spans of whole groups with 13 to 19 digits and a right check digit:
+    first those of a usual form, then from the left and the longest; none overlap.
+    """
+    pieces = F.regexp_extract_all(run, F.lit("([0-9]+[ -]?)"), F.lit(1))
+
+    def spans(p: Column) -> Column:
+        def of(i: Column, c: Column) -> Column:
+            text = F.regexp_replace(F.array_join(F.slice(p, i + 1, c), ""), "[ -]$", "")
+            return let(text, lambda t: F.struct((~t.rlike(CARD_FORM)).alias("odd"), i.alias("i"), (-c).alias("c"), t.alias("t")))
+
+        def right(x: Column) -> Column:
+            return let(only_digits(x["t"]), lambda d: F.when(F.length(d).between(13, 19), luhn_sum(d, 1) % 10 == 0).otherwise(F.lit(False)))
+
+        at = F.transform(p, lambda _, i: F.filter(F.transform(F.sequence(F.lit(1), F.least(F.lit(19), F.size(p) - i)), lambda c: of(i, c)), right))
+        return F.sort_array(F.flatten(at))
+
+    def chosen(found: Column) -> Column:
+        overlaps = lambda x, y: (x["i"] < y["i"] - y["c"]) & (y["i"] < x["i"] - x["c"])
+        none = F.filter(found, lambda _: F.lit(False))
+        return F.aggregate(found, none, lambda taken, x: F.when(F.exists(taken, lambda y: overlaps(x, y)), taken).otherwise(F.array_append(taken, x)))
+
+    def put(x: Column) -> Column:
+        def piece(text: Column, k: Column) -> Column:
+            last = F.regexp_extract(text, "[ -]$", 0)
+            here = F.filter(x["cards"], lambda y: (y["i"] <= k) & (k < y["i"] - y["c"]))
+
+            def of(y: Column) -> Column:
+                card = F.when(y["i"] == k, _card(y["t"], key)).otherwise(F.lit(""))
+                return F.when(y.isNull(), text).otherwise(F.concat(card, F.when(k == y["i"] - y["c"] - 1, last).otherwise(F.lit(""))))
+
+            return let(F.get(here, F.lit(0)), of)
+
+        return F.struct(F.array_join(F.transform(x["pieces"], piece), "").alias("text"), F.size(x["cards"]).alias("n"))
+
+    return let(pieces, lambda p: let(chosen(spans(p)), lambda c: let(F.struct(p.alias("pieces"), c.alias("cards")), put)))
+
+
 def _phone(m: Column, key: str) -> Column:
     return let(only_digits(m), lambda d: put_digits(m, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), permute_digits(F.substring(d, F.length(d) - 9, F.lit(10)), key, "phone"))))
 
@@ -186,15 +231,16 @@ def _email(m: Column, key: str) -> Column:
 
 
 def pseudonym(m: Column, key: str) -> Column:
-    """The pseudonym of a text that ANY matches; itself where its validation fails."""
+    """struct(text, n): the pseudonym of a text that ANY matches, itself where its validation fails, and the number of values replaced."""
     whole = lambda p: m.rlike(f"^(?:{p})$")
+    one = lambda new: let(new, lambda v: F.struct(v.alias("text"), (v != m).cast("int").alias("n")))
     return (
-        F.when(F.instr(m, "@") > 0, _email(m, key))
-        .when(F.substring(m, 1, 1) == "+", _phone(m, key))
-        .when(whole(r"\d{1,3}(?:\.\d{1,3}){3}"), _ip(m, key))
-        .when(whole(r"\d{4}-\d{2}-\d{2}|\d{2}[/.]\d{2}[/.]\d{4}"), _date(m, key))
-        .when(whole(r"\d{3}-\d{2}-\d{4}"), _ssn(m, key))
-        .otherwise(_card(m, key))
+        F.when(F.instr(m, "@") > 0, one(_email(m, key)))
+        .when(F.substring(m, 1, 1) == "+", one(_phone(m, key)))
+        .when(whole(r"\d{1,3}(?:\.\d{1,3}){3}"), one(_ip(m, key)))
+        .when(whole(r"\d{4}-\d{2}-\d{2}|\d{2}[/.]\d{2}[/.]\d{4}"), one(_date(m, key)))
+        .when(whole(r"\d{3}-\d{2}-\d{4}"), one(_ssn(m, key)))
+        .otherwise(_cards(m, key))
     )
 
 
@@ -213,11 +259,11 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> Dat
     held = held.withColumn("new", F.when(F.size("found") > 0, F.transform("found", lambda m: pseudonym(m, key))))
 
     def joined(new: Column) -> Column:
-        return F.array_join(F.zip_with(F.split("text", ANY, -1), new, lambda gap, v: F.concat(gap, F.coalesce(v, F.lit("")))), "")
+        return F.array_join(F.zip_with(F.split("text", ANY, -1), new, lambda gap, v: F.concat(gap, F.coalesce(v["text"], F.lit("")))), "")
 
     matches = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)))
     new_text = F.when(F.col("new").isNotNull(), joined(F.col("new"))).otherwise(F.col("text"))
-    count = F.when(F.col("new").isNotNull(), F.size(F.filter(F.zip_with("found", "new", lambda a, b: a != b), lambda x: x))).otherwise(F.lit(0)).cast("bigint")
+    count = F.when(F.col("new").isNotNull(), F.aggregate("new", F.lit(0), lambda s, v: s + v["n"])).otherwise(F.lit(0)).cast("bigint")
     kept = [c for c in docs.columns if c.lower() != "n_replaced"]
     return held.select(*[new_text.alias(c) if c.lower() == text_col.lower() else F.col("row").getField(c).alias(c) for c in kept], count.alias("n_replaced"))
 

@@ -388,6 +388,21 @@ def test_pseudonyms(spark):
     assert other != got[0].text
 
 
+def test_cards_beside_other_numbers(spark):
+    card, apart = "4111111111111111", "4111 1111 1111 1111"
+    texts = [f"{apart} 123", f"12 {card}", f"{card} 12/31/1999", f"{card} 190.137.223.204", f"{card} 123-45-6789", f"{card} 7@x.org", f"{card} {apart} 9", f"5 {apart} {card}", f"{card}-ab", f"{apart} 12ab", "1 " * 3000 + card, "4111111111111112 123"]
+    values = [1, 1, 2, 2, 2, 2, 2, 2, 0, 1, None, None]
+    got = [r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "id int, text string")).orderBy("id").collect()]
+    new = pii.pseudonymise(spark.createDataFrame([(card,)], "text string")).first().text
+    split = " ".join(new[k : k + 4] for k in range(0, 16, 4))
+    for r, text, n in zip(got, texts, values):
+        assert n is None or r.n_replaced == n, (text, r)
+        assert n == 0 or card not in r.text and apart not in r.text and len(r.text) == len(text) or "@" in text or "." in text
+    assert [got[k].text for k in (0, 1, 6, 7, 8, 9)] == [f"{split} 123", f"12 {new}", f"{new} {split} 9", f"5 {split} {new}", texts[8], f"{split} 12ab"]
+    assert all(got[k].text.startswith(f"{new} ") for k in (2, 3, 4, 5)) and not any(v in got[k].text for k, v in ((2, "12/31/1999"), (3, "190.137.223.204"), (4, "123-45-6789")))
+    assert got[10].text.endswith(f" {new}")
+
+
 def test_permutations_are_permutations(spark):
     digits = [r[0] for r in spark.range(1000).select(pii.permute_digits(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "t")).collect()]
     assert sorted(digits) == [f"{i:03}" for i in range(1000)]
