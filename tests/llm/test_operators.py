@@ -103,6 +103,20 @@ def test_ngram_join_empty(none):
     assert ngram_join.ngram_jaccard_join(none).collect() == []
 
 
+def test_rows_after_an_overflow_go_to_the_node():
+    import pyarrow as pa
+
+    def batch(signature, keys):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), signature)), pa.array(np.full(len(keys), 9)), pa.array(np.asarray(keys, np.int64))], ["signature", "n", "key"])
+
+    many = np.concatenate([np.arange(200_000), np.full(600, 200_000)])  # the last set is that of many tasks
+    given = [batch(3, [1, 2]), batch(7, many), batch(7, np.arange(200_001, 200_006)), batch(7, [200_006]), batch(8, [4, 5])]
+    out = pa.Table.from_batches(ngram_join._cells(4, 5)(iter(given))).to_pylist()
+    linked = {r["a"] for r in out if r["a"] is not None}
+    assert linked == set(range(200_007)) and len({r["b"] for r in out if r["a"] is not None}) == 1
+    assert sorted(r["members"] for r in out if r["a"] is None) == [[1, 2], [4, 5]]
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(250)] + [(5000, k) for k in range(5001, 5200)] + [(7, 7)]
