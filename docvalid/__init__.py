@@ -1,9 +1,9 @@
 """Validation of columns of XML documents against a schema, as DataFrame plans."""
 
-from .operators.rules import register_rule, unregister_rule
+from .operators.rules import RULES, Rules
 from .operators.shred import bind, shred
-from .plans.validation import validate, validate_text, violations
-from .schema.compiler import CompiledSchema, compile_schema
+from .plans.validation import schema_table, validate, validate_text, violations
+from .schema.compiler import CompiledSchema, clear_caches, compile_schema
 from .streaming.validate import validate_stream
 
-__all__ = ["CompiledSchema", "bind", "compile_schema", "register_rule", "shred", "unregister_rule", "validate", "validate_stream", "validate_text", "violations"]
+__all__ = ["RULES", "CompiledSchema", "Rules", "bind", "clear_caches", "compile_schema", "schema_table", "shred", "validate", "validate_stream", "validate_text", "violations"]

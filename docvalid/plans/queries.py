@@ -13,10 +13,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.rules import RULES
 from ..operators.shred import shred
 from ..sources.documents import spread
 from ..streaming.validate import validate_stream
-from .validation import validate, violations
+from .validation import schema_table, validate, violations
 
 XS = 'xmlns:xs="http://www.w3.org/2001/XMLSchema"'
 
@@ -161,6 +162,20 @@ def q_error_rate_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("customers"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("errors"))
 
 
+def q_own_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of one's own: after the built-in ones, in place of one, and for occurrences."""
+    rules = RULES.adding("short", lambda e, p: F.when(F.length(e["text"]) < 9, F.array(F.concat(p["name"], F.lit(" is short")))))
+    rules = rules.adding("type", lambda e, p: F.array(F.concat(p["name"], F.lit(" is "), e["text"]))).without("occurrence")
+    rules = rules.adding("many", lambda e, p: F.when(e["n"] > 1, F.array(F.concat(e["n"].cast("string"), F.lit(" of "), p["name"]))), to="occurrence")
+    docs = read(spark, sf_dir, "customer").selectExpr("CAST(c_custkey AS BIGINT) AS doc_id", "concat('<c><Segment>', c_mktsegment, '</Segment><Segment>', c_custkey, '</Segment></c>') AS xml")
+    return shown(validate(docs, SEGMENT, rules=rules))
+
+
+def q_schema_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship's schema as it is resolved; it depends on no table."""
+    return schema_table(spark, ORDER).selectExpr("name", "type", "most", "array_join(child_names, ',') AS children", "CAST(size(attributes) AS BIGINT) AS n_attributes")
+
+
 def q_stream_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of files, validated batch by batch into a table."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
@@ -230,6 +245,18 @@ TABLE_QUERIES: dict[str, Query] = {
     "q_abstract": Query("region", "r_regionkey", "concat('<r>', r_name, '</r>')", schema('<xs:element name="r" abstract="true"><xs:complexType/></xs:element>'), ("'Element <r> is abstract and cannot be used directly in an instance document.'",)),
     "q_namespace": Query("nation", "n_nationkey", "concat('<x:n xmlns:x=\"', CASE WHEN n_nationkey % 2 = 0 THEN 'urn:n' ELSE 'urn:other' END, '\">', n_name, '</x:n>')", schema(child("n", "xs:integer"), "urn:n"), (when("n_nationkey % 2 = 0", "'Element <n> must be an integer, but found \"' || n_name || '\".'"),)),
     "q_undeclared_ignored": Query("nation", "n_nationkey", "concat('<n more=\"1\"><other>', n_name, '</other><name>x</name><last/></n>')", schema(sequence("n", child("name"))), ()),
+    "q_fatal": Query("orders", "o_orderkey", "CASE WHEN o_orderstatus = 'O' THEN '<order/>' WHEN o_orderstatus = 'F' THEN ' ' ELSE '<order>' END", schema(child("order")), (when("o_orderstatus = 'F'", "'Validation error: no element found'"), when("o_orderstatus NOT IN ('O', 'F')", "'Validation error: no element found'"))),
+    "q_fatal_pattern": Query("customer", "c_custkey", "CASE WHEN c_custkey % 2 = 0 THEN '<R>x</R><!-- -->' ELSE '<S>x</S>' END", schema(simple("R", "xs:string", '<xs:pattern value="(["/>') + child("S", "xs:integer")), (when("c_custkey % 2 = 0", "'Validation error: Invalid regular expression: /([/'"), when("c_custkey % 2 = 1", "'Element <S> must be an integer, but found \"x\".'"))),
+    "q_root_insufficient": Query("orders", "o_orderkey", "concat('<all>', CASE WHEN o_orderkey % 3 = 0 THEN '<order/>' ELSE '<order/><order/>' END, '</all>')", schema(child("order", occurs=' minOccurs="2" maxOccurs="5"')), (when("o_orderkey % 3 = 0", "'Root element <order> is required in the document but has insufficient occurrences.'"), when("o_orderkey % 3 = 0", "'Element order occurs 1 times, but should occur at least 2 times.'"))),
+    "q_all": Query("part", "p_partkey", "concat('<part>', CASE WHEN p_partkey % 4 = 0 THEN '' ELSE concat('<size>', p_size, '</size>') END, '<brand>', p_brand, '</brand></part>')", schema(f'<xs:element name="part"><xs:complexType><xs:all>{child("brand", "xs:integer")}{child("size", "xs:integer")}</xs:all></xs:complexType></xs:element>'), (when("p_partkey % 4 = 0", "'Element <size> is required inside <part> but is missing.'"), "'Element <brand> must be an integer, but found \"' || p_brand || '\".'")),
+    "q_choice_nested": Query("part", "p_partkey", "concat('<p>', CASE p_partkey % 3 WHEN 0 THEN '<a/>' WHEN 1 THEN '<b/>' ELSE '<a/><c/>' END, '</p>')", schema(f'<xs:element name="p"><xs:complexType><xs:choice>{child("a")}<xs:choice>{child("b")}</xs:choice><xs:sequence>{child("c")}</xs:sequence></xs:choice></xs:complexType></xs:element>'), (when("p_partkey % 3 > 0", "'Choice error: Expected exactly one of [a, c], but found ' || CASE p_partkey % 3 WHEN 1 THEN 0 ELSE 2 END || '.'"),)),
+    "q_extension_attributes": Query("supplier", "s_suppkey", "concat('<s key=\"', s_suppkey, '\"', CASE WHEN s_suppkey % 2 = 0 THEN ' rank=\"high\"' ELSE '' END, '/>')", schema('<xs:complexType name="Base"><xs:attribute name="name" use="required"/></xs:complexType><xs:element name="s"><xs:complexType><xs:complexContent><xs:extension base="Base"><xs:attribute name="rank" type="xs:integer"/></xs:extension></xs:complexContent></xs:complexType></xs:element>'), ("""'Missing required attribute ''name'' in element <s>.'""", when("s_suppkey % 2 = 0", """'Attribute ''rank'' in element <s> must be an integer, but found ''high''.'"""))),
+    "q_complex_restriction": Query("supplier", "s_suppkey", "concat('<s>', CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE '<name>n</name>' END, '</s>')", schema(f'<xs:complexType name="Base"><xs:sequence>{child("name")}</xs:sequence></xs:complexType><xs:element name="s"><xs:complexType><xs:complexContent><xs:restriction base="Base"/></xs:complexContent></xs:complexType></xs:element>'), (when("s_suppkey % 3 = 0", "'Element <name> is required inside <s> but is missing.'"),)),
+    "q_declared_twice": Query("nation", "n_nationkey", "concat('<n><name>', n_name, '</name></n>')", schema(sequence("n", child("name", "xs:integer") + child("name", "xs:date"))), ("'Element <name> must be an integer, but found \"' || n_name || '\".'", "'Element <name> must be a valid date (YYYY-MM-DD), but found \"' || n_name || '\".'")),
+    "q_numeric_facets_of_built_in": Query("part", "p_partkey", "concat('<Size>', p_size, '</Size>')", schema(simple("Size", "xs:integer", '<xs:minInclusive value="1000"/>')), ()),
+    "q_type_reference": Query("supplier", "s_suppkey", "concat('<s><at><n>', s_nationkey, CASE WHEN s_suppkey % 5 = 0 THEN '?' ELSE '' END, '</n></at></s>')", schema(sequence("s", child("at", "Place")) + f'<xs:complexType name="Place"><xs:sequence>{child("n", "xs:integer")}</xs:sequence></xs:complexType>'), (when("s_suppkey % 5 = 0", "'Element <n> must be an integer, but found \"' || s_nationkey || '?\".'"),)),
+    "q_attributes_merged": Query("supplier", "s_suppkey", "CASE WHEN s_suppkey % 2 = 0 THEN '<s/>' ELSE '<s a=\"1\" b=\"x\"/>' END", schema('<xs:complexType name="T"><xs:attribute name="a" use="required"/><xs:attribute name="b" type="xs:integer"/></xs:complexType>' + child("s", "T")), (when("s_suppkey % 2 = 0", """'Missing required attribute ''a'' in element <s>.'"""), when("s_suppkey % 2 = 1", """'Attribute ''b'' in element <s> must be an integer, but found ''x''.'"""))),
+    "q_text_trimmed": Query("part", "p_partkey", "concat('<Size>\u00a0', p_size, '\n\ufeff</Size>')", schema(child("Size", "xs:integer")), ()),
     "q_error_messages": Query("region", "r_regionkey", "concat('<r k=\"', r_regionkey, 'x\"><name>', r_name, '</name><size>', r_name, '</size></r>')", schema(sequence("r", child("name") + child("size", "xs:integer") + child("none"), more='<xs:attribute name="k" type="xs:integer"/>')), ("""'Attribute ''k'' in element <r> must be an integer, but found ''' || r_regionkey || 'x''.'""", "'Element <none> is required inside <r> but is missing.'", "'Element <size> must be an integer, but found \"' || r_name || '\".'")),
 }
 
@@ -247,6 +274,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_choice_descendant": q_choice_descendant,
     "q_error_rate_by_segment": q_error_rate_by_segment,
     "q_stream_validate": q_stream_validate,
+    "q_own_rules": q_own_rules,
+    "q_schema_table": q_schema_table,
     **{name: q.run for name, q in TABLE_QUERIES.items()},
 }
 
@@ -265,5 +294,7 @@ ORACLE_SQL: dict[str, str] = {
     "q_choice_descendant": CHOICE_SQL,
     "q_error_rate_by_segment": "SELECT c_mktsegment AS segment, count(*) AS customers, CAST(count(*) FILTER (c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'FURNITURE')) AS BIGINT) AS errors FROM customer GROUP BY c_mktsegment",
     "q_stream_validate": said("SELECT CAST(event_id AS BIGINT) AS doc_id, CASE WHEN event_type IN ('click', 'view') THEN [] ELSE ['Element <type> must be one of [click, view], but found \"' || event_type || '\".'] END AS e FROM events"),
+    "q_own_rules": said("SELECT CAST(c_custkey AS BIGINT) AS doc_id, ['2 of Segment', 'Segment is ' || c_mktsegment] || CASE WHEN length(c_mktsegment) < 9 THEN ['Segment is short'] ELSE [] END || ['Segment is ' || c_custkey, 'Segment is short'] AS e FROM customer"),
+    "q_schema_table": "WITH t(name, type, most, children, n) AS (VALUES ('order', NULL, 1.0::DOUBLE, 'status,total,date,line', 1), ('status', 'xs:string', 1.0, '', 0), ('total', 'xs:decimal', 1.0, '', 0), ('date', 'xs:date', 1.0, '', 0), ('line', 'Line', 6.0, 'qty', 0), ('qty', 'xs:decimal', 1.0, '', 0)) SELECT name, type, most, children, CAST(n AS BIGINT) AS n_attributes FROM t",
     **{name: q.sql() for name, q in TABLE_QUERIES.items()},
 }

@@ -9,17 +9,22 @@ not XSD 1.0's: see the README for where they differ.
 from __future__ import annotations
 
 import math
+import sys
+import threading
+from collections import Counter
+from contextlib import contextmanager
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
 from ..functions.ecmascript import number_text, parse_float, parse_int
-from .tree import Malformed, Node, parse
+from .tree import XSD, Malformed, Node, parse
 
 UNBOUNDED = math.inf
-#: Nesting of types beyond which a schema counts as recursive without end.
-DEEPEST = 120
-#: Places beyond which a schema is refused: they are broadcast.
-MOST_PLACES = 50_000
+#: A definition that is met so often within itself, while it is still open, is met without end.
+ENDLESS = 3
+#: Bytes of stack for reading and resolving schemas that nest deeply.
+STACK = 512 << 20
 
 
 class SchemaError(ValueError):
@@ -245,7 +250,23 @@ class Resolver:
     types: dict[str, Declaration]
     elements: list[Declaration]
     known: dict[str, Declaration] = field(default_factory=dict)
-    depth: int = 0
+    unfinished: set[str] = field(default_factory=set)
+    within: Counter[tuple[str, str]] = field(default_factory=Counter)
+
+    @contextmanager
+    def inside(self, what: str, name: str | None) -> Iterator[None]:
+        """SchemaError where a definition leads back to itself for ever."""
+        if name is not None:
+            self.within[what, name] += 1
+            if self.within[what, name] > ENDLESS:
+                raise SchemaError("Maximum call stack size exceeded")
+        yield
+        if name is not None:
+            self.within[what, name] -= 1
+
+    def namespace_of(self, prefix: str, target: str | None) -> str | None:
+        """What a prefix stands for: the schema language for xsd, the target namespace for none."""
+        return XSD if prefix == "xsd" else target if prefix == "" else None
 
     def definition(self, qname: str) -> tuple[str, Declaration | None]:
         parts = qname.split(":")
@@ -260,7 +281,8 @@ class Resolver:
         if found is None:
             return None
         if local not in self.known:
-            self.known[local] = self.resolve(found)
+            with self.inside("base", local):
+                self.known[local] = self.resolve(found)
         return self.known[local]
 
     def referred(self, d: Declaration) -> Declaration:
@@ -273,7 +295,9 @@ class Resolver:
             if found is None:
                 return d
             self.known[local] = found  # a type that refers to itself meets its unresolved form
+            self.unfinished.add(local)
             base = self.known[local] = self.resolve(found)
+            self.unfinished.discard(local)
         return replace(
             d, children=base.children or d.children, choices=base.choices or d.choices, attributes=_united(base.attributes, d.attributes),
             facets=d.facets.over(base.facets), abstract=base.abstract if d.abstract is None else d.abstract, extension=None, restriction=None,
@@ -295,18 +319,17 @@ class Resolver:
         return replace(base, name=d.name, namespace=d.namespace, low=d.low, high=d.high, facets=r.facets.over(base.facets), abstract=base.abstract if d.abstract is None else d.abstract, extension=None, restriction=None)
 
     def resolve(self, d: Declaration) -> Declaration:
-        self.depth += 1
-        if self.depth > DEEPEST:
-            raise SchemaError("Maximum call stack size exceeded")
+        again = None
         if d.type and not d.extension and not d.restriction:
+            local = self.definition(d.type)[0]
+            again = local if local in self.unfinished else None
             d = self.referred(d)
         if d.extension:
             d = self.extended(d, d.extension)
         elif d.restriction:
             d = self.restricted(d, d.restriction)
-        d = replace(d, children=tuple(self.resolve(c) for c in d.children), choices=tuple(tuple(self.resolve(x) for x in c) for c in d.choices))
-        self.depth -= 1
-        return d
+        with self.inside("type", again):
+            return replace(d, children=tuple(self.resolve(c) for c in d.children), choices=tuple(tuple(self.resolve(x) for x in c) for c in d.choices))
 
 
 # --- compiling -----------------------------------------------------------------
@@ -314,7 +337,7 @@ class Resolver:
 
 @dataclass(frozen=True)
 class Place:
-    """One declaration at one path below a global one."""
+    """A declaration as it is below a global one; equal ones of several paths are one place."""
 
     number: int
     declaration: Declaration
@@ -348,9 +371,7 @@ class CompiledSchema:
     error: str | None = None
 
 
-@lru_cache(maxsize=64)
-def compile_schema(xsd: str) -> CompiledSchema:
-    """The places of a schema; one with ``error`` set where the text is no schema that can be used."""
+def _compiled(xsd: str) -> CompiledSchema:
     try:
         root = parse(xsd)
         nodes = [n for n in root.children if n.is_schema("element") or n.is_schema("complexType")]
@@ -362,21 +383,53 @@ def compile_schema(xsd: str) -> CompiledSchema:
         resolver = Resolver(types, elements)
         resolved = []
         for d in elements:
-            resolver.depth = 0
+            resolver.unfinished.clear(), resolver.within.clear()
             resolved.append(resolver.resolve(d))
     except (Malformed, SchemaError) as e:
         return CompiledSchema(None, (), (), str(e))
-    places: list[Place | None] = []
+    places: list[Place] = []
+    numbers: dict[tuple[Declaration, tuple[int, ...]], int] = {}
 
     def add(d: Declaration) -> int:
-        number = len(places)
-        if number >= MOST_PLACES:
-            raise SchemaError(f"more than {MOST_PLACES} places")
-        places.append(None)
-        places[number] = Place(number, d, tuple(add(c) for c in d.children))
+        children = tuple(add(c) for c in d.children)
+        # of the choices only the names in the first count
+        named = tuple(Declaration(m.name) for m in d.choices[0]) if d.choices else None
+        bare = replace(d, children=(), choices=() if named is None else (named,), low=repr(d.low), high=repr(d.high))
+        if (number := numbers.setdefault((bare, children), len(places))) == len(places):
+            places.append(Place(number, replace(d, children=()), children))
         return number
 
+    return CompiledSchema(namespace, tuple(add(d) for d in resolved), tuple(places))
+
+
+@lru_cache(maxsize=64)
+def compile_schema(xsd: str) -> CompiledSchema:
+    """The places of a schema; one with ``error`` set where the text is no schema that can be used.
+
+    It is read and resolved on a stack of its own, as deep as the schema nests.
+    """
+    out: list[CompiledSchema | BaseException] = []
+
+    def run() -> None:
+        try:
+            out.append(_compiled(xsd))
+        except BaseException as e:  # raised below, in the caller's thread
+            out.append(e)
+
+    limit, size = sys.getrecursionlimit(), threading.stack_size(STACK)
     try:
-        return CompiledSchema(namespace, tuple(add(d) for d in resolved), tuple(p for p in places if p))
-    except SchemaError as e:
-        return CompiledSchema(None, (), (), str(e))
+        sys.setrecursionlimit(1_000_000)
+        thread = threading.Thread(target=run)
+        thread.start()
+        thread.join()
+    finally:
+        threading.stack_size(size)
+        sys.setrecursionlimit(limit)
+    if isinstance(out[0], BaseException):
+        raise out[0]
+    return out[0]
+
+
+def clear_caches() -> None:
+    """Forgets the schemas compiled so far."""
+    compile_schema.cache_clear()

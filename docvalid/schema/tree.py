@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from xml.parsers import expat
 
 XSD = "http://www.w3.org/2001/XMLSchema"
@@ -15,15 +14,14 @@ class Malformed(ValueError):
     """The text is not a well-formed document."""
 
 
-@dataclass(slots=True, eq=False)
 class Node:
-    number: int  #: in document order
-    tag: str
-    namespace: str | None
-    attributes: dict[str, str]
-    parent: Node | None
-    children: list[Node] = field(default_factory=list)
-    text: list[str | Node] = field(default_factory=list)
+    __slots__ = ("number", "tag", "namespace", "attributes", "parent", "children", "text")
+
+    def __init__(self, number: int, tag: str, namespace: str | None, attributes: dict[str, str], parent: Node | None) -> None:
+        self.number = number  #: in document order
+        self.tag, self.namespace, self.attributes, self.parent = tag, namespace, attributes, parent
+        self.children: list[Node] = []
+        self.text: list[str | Node] = []
 
     @property
     def local(self) -> str:
@@ -39,6 +37,8 @@ class Node:
 
     def content(self) -> str:
         """The text of the node and of all below it."""
+        if not self.children:
+            return "".join(self.text)  # type: ignore[arg-type]
         out: list[str] = []
         stack: list[str | Node] = self.text[::-1]
         while stack:
@@ -71,12 +71,14 @@ def parse(text: str) -> Node:
 
     def start(tag: str, attributes: dict[str, str]) -> None:
         nonlocal count
-        own = {("" if k == "xmlns" else k[6:]): v for k, v in attributes.items() if k == "xmlns" or k.startswith("xmlns:")}
-        scopes.append({**scopes[-1], **own} if own else scopes[-1])
+        scope = scopes[-1]
+        if attributes and (own := {k[6:]: v for k, v in attributes.items() if k == "xmlns" or k.startswith("xmlns:")}):
+            scope = {**scope, **own}
+        scopes.append(scope)
         prefix = tag.rpartition(":")[0]
-        if prefix and prefix not in scopes[-1]:
+        if prefix and prefix not in scope:
             raise Malformed(f"prefix {prefix} is not bound")
-        node = Node(count, tag, scopes[-1].get(prefix) or None, attributes, stack[-1] if stack else None)
+        node = Node(count, tag, scope.get(prefix) or None, attributes, stack[-1] if stack else None)
         count += 1
         if stack:
             stack[-1].children.append(node)
