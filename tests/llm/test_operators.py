@@ -527,8 +527,8 @@ def test_style_tree_finds_what_repeats(spark):
     page = lambda k: f"<body><div class='top'>Welcome to the site</div><div class='x{'' if k % 2 else ''}'><p>{prose(rng, 30)} {k}</p></div><div class='low'>{('All rights', 'Contact us')[k % 2]}</div></body>"
     rows = [(k, "https://site.org/p", page(k)) for k in range(40)] + [(100, "https://small.org", "<body><div class='top'>Welcome</div><p>t</p></body>"), (101, None, "<p>n</p>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    tree = {(r.host, r.path): r.importance for r in html_text.style_tree(df).collect()}
-    assert tree[("site.org", "/body/div.top")] == 0 and tree[("site.org", "/body/div.low")] < 0.5 and tree[("site.org", "/body/div.x/p")] > 0.9
+    tree = {(r.host, r.label): r for r in html_text.style_tree(html_text.read_pages(df)).collect()}
+    assert tree[("site.org", "div.top")].importance < 0.1 and tree[("site.org", "div.low")].importance < 0.5 and tree[("site.org", "p")].importance > 0.85
     got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
     assert "Welcome" not in got[0] and "rights" not in got[0] and got[0].endswith(" 0") and got[100] == "Welcome\nt" and got[101] == "n"
 
@@ -564,6 +564,60 @@ def test_names_only_lower_importance(spark):
     assert extracted(spark, [f"<form><div>{words[0]}</div><nav>x</nav></form><div id='comments'><article>c</article></div>"]) == [words[0]]
 
 
+def test_entropies_alone_tell_names_apart(spark):
+    """One host has its text in aside-like boxes, the other in plain ones; the names are the same."""
+    rng = random.Random(16)
+    words = [prose(rng, 40) for _ in range(20)]
+    page = "<body><div class='one'>{}</div><div class='two'>{}</div><div class='side-note'>{}</div></body>"
+    assert extracted(spark, [page.format(w, "Buy now", "Log in") for w in words], "a.org") == words
+    assert extracted(spark, [page.format("Buy now", "Log in", w) for w in words], "b.org") == words
+    assert extracted(spark, [page.format("Buy now", w, "Log in") for w in words], "c.org") == words
+
+
+def test_articles_lose_nothing_for_a_name(spark):
+    page = "<article><p>a</p><div class='side-note'>b</div><div class='share-price'>c</div><section class='related-work'>d</section><figure>e</figure></article>"
+    assert extracted(spark, [page]) == ["a\nb\nc\nd\ne"]
+
+
+def test_style_tree_as_written_down(spark):
+    """Entropies and importances against those of a plain version over the parsed pages."""
+    rng = random.Random(17)
+    pages = ["<nav>" + "<a>x</a>" * rng.randrange(3) + "</nav><main>" + "".join(f"<p>{prose(rng, 5) if rng.random() < 0.7 else 'same'}</p>" for _ in range(rng.randrange(1, 5))) + f"<div class='menu'>{rng.randrange(3)}</div></main>" for _ in range(30)]
+    df = spark.createDataFrame([(k, f"//{'ab'[k % 2]}", h) for k, h in enumerate(pages)], "page_id long, url string, html string").repartition(4)
+    texts, forms, priors = defaultdict(Counter), defaultdict(Counter), defaultdict(list)
+    for k, h in enumerate(pages):
+        p = html_text.Page(h)
+        for node, parent, label, content, prior, _ in p.branches()[1]:
+            texts["ab"[k % 2], node, parent, label][content] += 1
+            priors["ab"[k % 2], node].append(prior)
+        for node, (_, _, form) in p.shapes.items():
+            forms["ab"[k % 2], node][form] += 1
+
+    def entropy(counts):
+        n = sum(counts.values())
+        return 1.0 if n == 1 else -sum(c / n * np.log(c / n) for c in counts.values()) / np.log(n)
+
+    got = {(r.host, r.node, r.parent, r.label): r for r in html_text.style_tree(html_text.read_pages(df)).collect()}
+    assert set(got) == set(texts) and {r.label for r in got.values()} >= {"p", "div.menu?"}
+    for key, counts in texts.items():
+        host, node, parent, _ = key
+        content, form, prior = entropy(counts), entropy(forms[host, parent]) if forms[host, parent] else 0.0, sum(priors[host, node]) / len(priors[host, node])
+        assert got[key].pages == sum(counts.values())
+        assert (got[key].content, got[key].presentation, got[key].importance) == pytest.approx((content, form, prior * (0.9 * content + 0.1 * form)))
+
+
+def test_reading_is_linear():
+    import time
+
+    assert [t for _, t, _, _ in html_text.Page("<main><p title=\"it's>ok</p>").branches()[0]] == ["ok"]
+    assert [t for _, t, _, _ in html_text.Page("<main><p title='a>b'>x</p> 1 < 2 </main>").branches()[0]] == ["x", "1 < 2"]
+    began = time.process_time()
+    for odd in ('<a "', '<p a="x ', "<div>", "<b>x", "<li><dd>", "<nav><p>t", "<!--", "</b>", "<b><i>"):
+        html_text.Page(odd * 20_000).branches()
+    html_text.Page("<b>" * 20_000 + "<i>" * 20_000 + "</b>" * 20_000).branches()
+    assert time.process_time() - began < 20
+
+
 # --- texts as arrays -----------------------------------------------------------
 
 
