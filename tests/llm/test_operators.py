@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, and on nulls, empty and long texts, ties, repeats, empty tables and clashing names."""
 
+import os
 import random
 import re
 import zlib
@@ -191,7 +192,7 @@ def test_nearest(spark):
     odd = [(None, [1.0] * 8, 1), (9001, None, 1), (9020, [0.0] * 8, 1), (9040, [float("nan")] + [1.0] * 7, 1), (9060, [float("inf")] * 8, 1), (9080, [None] * 8, 1), (9100, [], 1), (10_000, [1.0, 2.0], 1), (10_003, [2.0, 2.0], 1), rows[0]]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, place int")
     ids = np.array([r[0] for r in rows])
-    for factor, least in ((1.0, 1.0), (vptree.FACTOR, 0.9)):
+    for factor, least in ((1.0, 1.0), (None, 0.9)):
         got = defaultdict(list)
         for r in vptree.nearest(df, factor=factor, shard=64).orderBy("query_id", "rank").collect():
             got[r.query_id].append((r.vec_id, r.score))
@@ -207,6 +208,56 @@ def test_nearest(spark):
         assert not got and hits / total >= least
 
 
+def test_recall_on_the_real_vectors(spark):
+    """The tuned factor over several regions and shards, against brute force."""
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables here")
+    df = spark.read.parquet(path)
+    rows = [(r.vec_id, r.embedding) for r in df.where("embedding IS NOT NULL").collect()]
+    ids, vectors = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    got = defaultdict(set)
+    for r in vptree.nearest(df, shard=256).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = total = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        order = [j for j in np.lexsort((ids, -(vectors @ vectors[i]))) if j != i][:20]
+        hits, total = hits + len({int(ids[j]) for j in order} & got[int(ids[i])]), total + 20
+    assert hits / total >= 0.9
+
+
+def test_trees_pass_over_what_is_far():
+    """In vectors with some order the tuned factor scores a small share of all rows, and regions are left out."""
+    rng = np.random.default_rng(18)
+    middle = rng.normal(size=(40, 16))
+    vectors = middle[rng.integers(0, 40, 8000)] + rng.normal(size=(8000, 16)) * 0.2
+    square = float((vectors**2).sum(1).max())
+    factor = vptree.tuned_factor(vectors, square, 21)
+    tree = vptree.Tree(np.arange(8000), np.arange(8000), vectors, square)
+    scores, rows = tree.search(vectors[:50], 21, factor)
+    exact = -np.sort(-(vectors[:50] @ vectors.T), 1)[:, :21]
+    assert factor > 1 and tree.scored < 0.3 * 50 * 8000 and (scores >= exact[:, -1:] - 1e-9).sum() >= 0.9 * exact.size
+    regions = vptree.Regions.of(vptree.lifted(vectors, square), 3)
+    at, far = regions.place(vptree.lifted(vectors, square))
+    regions.low, regions.high = (np.array([f(far[at == r]) for r in range(8)]) for f in (lambda x: x.min(0), lambda x: x.max(0)))
+    asked = np.hstack([vectors[:50], np.zeros((50, 1))])
+    reach = np.sqrt(np.maximum((vectors[:50] ** 2).sum(1) + square - 2 * exact[:, -1], 0))
+    to = regions.visits(asked, reach + 1e-9, 1.0)
+    assert to.mean() < 0.9 and all(to[i, at[j]] for i in range(50) for j in np.flatnonzero(vectors @ vectors[i] >= exact[i, -1]))
+
+
+def test_nearest_of_equal_vectors_and_ids(spark):
+    kind = "vec_id long, embedding array<double>"
+    many = [(i, [1.0, 0.0]) for i in range(100)]
+    got = defaultdict(list)
+    for r in vptree.nearest(spark.createDataFrame([*many, *many, (200, [2.0, 0.0])], kind).repartition(3), k=3).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert got[0] == [(1, 200, 2.0), (2, 1, 1.0), (3, 2, 1.0)] and got[20] == [(1, 200, 2.0), (2, 0, 1.0), (3, 1, 1.0)] and got[200] == [(1, 0, 2.0), (2, 1, 2.0), (3, 2, 2.0)]
+    # an id with two vectors asks twice, and each is the other's candidate
+    got = [(r.query_id, r.vec_id, r.score) for r in vptree.nearest(spark.createDataFrame([(20, [1.0, 0.0]), (20, [3.0, 0.0]), (7, [2.0, 0.0])], kind)).orderBy("score", "vec_id").collect()]
+    assert got == [(20, 7, 2.0), (20, 20, 3.0), (20, 20, 3.0), (20, 7, 6.0)]
+
+
 def test_nearest_few_or_none(spark):
     kind = "vec_id long, embedding array<float>"
     assert vptree.nearest(spark.createDataFrame([], kind)).collect() == []
