@@ -4,6 +4,8 @@ A value that passes its kind's validation is replaced by a keyed permutation of
 values of its format: a payment card by one with a right check digit, an address by
 an address, a date by a date.  Equal values get equal pseudonyms in all documents
 under one key, and different ones different; without the key they can't be undone.
+A day is one pseudonym in every format; it stays in the first twelve of a month or
+beyond them, as only the latter can be told apart where the month stands first.
 
 Kinds: payment cards (13 to 19 digits, Luhn), telephone numbers (+ country code and
 10 national digits in groups), IPv4 addresses, US social security numbers, dates
@@ -20,8 +22,10 @@ from .quality import let
 from .shared import plain, table
 
 ROUNDS = 8
-#: The key of tests and of the registered query; a production run passes its own secret.
+#: The key of tests and of the registered query, which anyone can undo; a production run has its own secret.
 KEY = "docvalid-public-test-key"
+#: The session's setting that names the secret.
+SETTING = "spark.docvalid.pii.key"
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 IPV4 = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)"
@@ -36,8 +40,8 @@ ANY = "|".join((EMAIL, IPV4, DATE, SSN, PHONE, RUN))
 #: Cards as they are mostly written: these go before other spans of a run.
 CARD_FORM = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})$"
 
-#: The first day of the dates that are permuted, and their number: 1900-01-01 to 2099-12-31.
-FIRST_DAY, DAYS = -25567, 73049
+#: The first year of the dates that are permuted, and the number of their months: 1900-01 to 2099-12.
+FIRST_YEAR, MONTHS = 1900, 2400
 
 
 def _number(text: Column) -> Column:
@@ -191,19 +195,34 @@ def _ssn(m: Column, key: str) -> Column:
     return let(_number(only_digits(m)), of)
 
 
+def permute_day(day: Column, key: str) -> Column:
+    """A permutation of the days of 1900 to 2099, null for others: of the first to twelfth of all months, and of the others."""
+    months = (F.year(day) - FIRST_YEAR) * 12 + F.month(day) - 1
+    low = F.dayofmonth(day) <= 12
+    first, size = F.when(low, 1).otherwise(13), F.when(low, 12).otherwise(19)
+    start = F.struct(months.cast("bigint").alias("a"), (F.dayofmonth(day) - first).cast("bigint").alias("b"))
+    month = lambda x: F.make_date((FIRST_YEAR + F.floor(x["a"] / 12)).cast("int"), (x["a"] % 12 + 1).cast("int"), F.lit(1))
+    fits = lambda x: x["b"] + first <= F.dayofmonth(F.last_day(month(x)))
+
+    def walk(x: Column, i: Column) -> Column:
+        moved = let(_rounds(key, "date", x["a"], x["b"], F.lit(MONTHS).cast("bigint"), size.cast("bigint")), lambda y: F.struct(y["a"].alias("a"), y["b"].alias("b")))
+        return F.when((i > 1) & fits(x), x).otherwise(moved)
+
+    # one step in thirty leads to a day that its month lacks; so many in turn never do
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(24)), start, walk)
+    return F.when((months >= 0) & (months < MONTHS), let(out, lambda x: F.date_add(month(x), (x["b"] + first - 1).cast("int"))))
+
+
 def _date(m: Column, key: str) -> Column:
-    """Year first, or day first where that is a valid day, else month first; the same day is one pseudonym in every format."""
+    """Year first, or day first where that is a valid day, else month first."""
     mark = F.substring(m, 3, 1)
     iso = m.rlike(r"^\d{4}-")
     day_first, month_first = (F.try_to_date(F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, a, 2), F.substring(m, b, 2)), "yyyy-MM-dd") for a, b in ((4, 1), (1, 4)))
 
     def of(x: Column) -> Column:
-        number = F.unix_date(F.coalesce(x["iso"], x["dmy"], x["mdy"])) - FIRST_DAY
-        moved = F.date_from_unix_date((permute_below(number, DAYS, key, "date") + FIRST_DAY).cast("int"))
-        text = F.when(x["iso"].isNotNull(), F.date_format(moved, "yyyy-MM-dd"))
-        text = text.when(x["dmy"].isNotNull(), F.concat_ws("", F.date_format(moved, "dd"), mark, F.date_format(moved, "MM"), mark, F.date_format(moved, "yyyy")))
-        text = text.otherwise(F.concat_ws("", F.date_format(moved, "MM"), mark, F.date_format(moved, "dd"), mark, F.date_format(moved, "yyyy")))
-        return F.when((number >= 0) & (number < DAYS), F.coalesce(text, m)).otherwise(m)
+        form = lambda *parts: let(permute_day(F.coalesce(x["iso"], x["dmy"], x["mdy"]), key), lambda d: F.concat(*[F.date_format(d, p) if isinstance(p, str) else p for p in parts]))
+        text = F.when(x["iso"].isNotNull(), form("yyyy-MM-dd")).when(x["dmy"].isNotNull(), form("dd", mark, "MM", mark, "yyyy")).otherwise(form("MM", mark, "dd", mark, "yyyy"))
+        return F.coalesce(text, m)
 
     return let(F.struct(F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).alias("iso"), F.when(~iso, day_first).alias("dmy"), F.when(~iso, month_first).alias("mdy")), of)
 
@@ -244,24 +263,32 @@ def pseudonym(m: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
+def secret(spark: SparkSession) -> str:
+    """The key that the session's setting names; ValueError without one."""
+    if not (key := spark.conf.get(SETTING, None)):
+        raise ValueError(f"set {SETTING} to a secret key")
+    return key
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` with its text's values replaced, and n_replaced, their number (bigint, 0 for none).
 
-    A null text stays null and an empty one empty; text without such values is not
+    key: the secret, by default that of the session's setting.  A null text stays null
+    and an empty one empty; text without such values is not
     changed in any character.  All other columns stay as they are, in their order,
     save one named n_replaced, whose place the number takes.  Rows are independent:
     repeated ones get the same result, and an empty table gives an empty one.
     """
+    secret_ = secret(docs.sparkSession) if key is None else key
     text = docs[f"`{text_col}`"].cast("string")
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)))
     # the row as one column, so that no name of its own can clash with ours
     held = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), text.alias("text"), found.alias("found"))
-    held = held.withColumn("new", F.when(F.size("found") > 0, F.transform("found", lambda m: pseudonym(m, key))))
+    held = held.withColumn("new", F.when(F.size("found") > 0, F.transform("found", lambda m: pseudonym(m, secret_))))
 
     def joined(new: Column) -> Column:
         return F.array_join(F.zip_with(F.split("text", ANY, -1), new, lambda gap, v: F.concat(gap, F.coalesce(v["text"], F.lit("")))), "")
 
-    matches = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)))
     new_text = F.when(F.col("new").isNotNull(), joined(F.col("new"))).otherwise(F.col("text"))
     count = F.when(F.col("new").isNotNull(), F.aggregate("new", F.lit(0), lambda s, v: s + v["n"])).otherwise(F.lit(0)).cast("bigint")
     kept = [c for c in docs.columns if c.lower() != "n_replaced"]
@@ -269,4 +296,5 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> Dat
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """With the public key, as tests must know the result."""
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)

@@ -439,7 +439,7 @@ def test_pseudonyms(spark):
     values = ["4111111111111111", "4111-1111-1111-1111", "4111111111111112", "+1 (736) 555-2678", "192.168.1.1", "300.1.1.1", "2024-02-29", "2023-02-29", "31/12/1999", "12/31/1999", "31.12.1999", "123-45-6789", "000-12-3456", "bob.7@mail.example.com", "1.2.3", "12345"]
     changed = {0, 1, 3, 4, 6, 8, 9, 10, 11, 13}
     df = spark.createDataFrame([(i, f"call {v} now, {v}.") for i, v in enumerate(values)], "id int, text string")
-    got = {r.id: r for r in pii.pseudonymise(df).collect()}
+    got = {r.id: r for r in pii.pseudonymise(df, pii.KEY).collect()}
     new = {}
     for i, v in enumerate(values):
         assert got[i].text.startswith("call ") and got[i].n_replaced == (2 if i in changed else 0), (v, got[i])
@@ -449,7 +449,7 @@ def test_pseudonyms(spark):
     assert luhn(new[0]) and new[1].replace("-", "") == new[0] and all(int(p) < 256 for p in new[4].split("."))
     assert new[13].endswith("@mail.example.com") and re.fullmatch(r"[a-z]{3}\.\d", new[13].split("@")[0])
     day = new[8].split("/")
-    assert new[10].split(".") == day and new[9].split("/") == [day[1], day[0], day[2]]
+    assert new[10].split(".") == day and new[9].split("/") == [day[1], day[0], day[2]] and int(day[0]) > 12
     other = pii.pseudonymise(df, key="another").where("id = 0").first().text
     assert other != got[0].text
 
@@ -458,8 +458,8 @@ def test_cards_beside_other_numbers(spark):
     card, apart = "4111111111111111", "4111 1111 1111 1111"
     texts = [f"{apart} 123", f"12 {card}", f"{card} 12/31/1999", f"{card} 190.137.223.204", f"{card} 123-45-6789", f"{card} 7@x.org", f"{card} {apart} 9", f"5 {apart} {card}", f"{card}-ab", f"{apart} 12ab", "1 " * 3000 + card, "4111111111111112 123"]
     values = [1, 1, 2, 2, 2, 2, 2, 2, 0, 1, None, None]
-    got = [r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "id int, text string")).orderBy("id").collect()]
-    new = pii.pseudonymise(spark.createDataFrame([(card,)], "text string")).first().text
+    got = [r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), pii.KEY).orderBy("id").collect()]
+    new = pii.pseudonymise(spark.createDataFrame([(card,)], "text string"), pii.KEY).first().text
     split = " ".join(new[k : k + 4] for k in range(0, 16, 4))
     for r, text, n in zip(got, texts, values):
         assert n is None or r.n_replaced == n, (text, r)
@@ -476,12 +476,79 @@ def test_permutations_are_permutations(spark):
     assert sorted(below) == list(range(300))
 
 
+def test_dates_are_permuted(spark):
+    """All dates of all formats: different values get different pseudonyms of their format, one day the same one."""
+    days = spark.sql("SELECT explode(sequence(DATE'1900-01-01', DATE'2099-12-31')) AS d")
+    forms = {"iso": "yyyy-MM-dd", "dmy": "dd/MM/yyyy", "mdy": "MM/dd/yyyy"}
+    df = days.selectExpr("d", "inline(array(" + ", ".join(f"struct('{k}' AS form, date_format(d, '{f}') AS text)" for k, f in forms.items()) + "))").where("form != 'mdy' OR day(d) > 12")
+    out = pii.pseudonymise(df.repartition(4), pii.KEY).selectExpr("d", "form", "text", "CASE form WHEN 'iso' THEN try_to_date(text, 'yyyy-MM-dd') WHEN 'dmy' THEN try_to_date(text, 'dd/MM/yyyy') ELSE try_to_date(text, 'MM/dd/yyyy') END AS new")
+    got = out.selectExpr("count(*) AS n", "count(DISTINCT text) AS texts", "count_if(new IS NULL OR (day(new) > 12) != (day(d) > 12)) AS wrong", "count(DISTINCT d) AS days", "count(DISTINCT d, new) AS pairs", "count_if(new = d) AS same").first()
+    assert got.n == got.texts == 2 * 73_049 + 44_249 and got.wrong == 0 and got.pairs == got.days == 73_049 and got.same < 40
+    assert [r.text for r in pii.pseudonymise(spark.createDataFrame([("31/12/1899",), ("2100-01-01",)], "text string"), pii.KEY).collect()] == ["31/12/1899", "2100-01-01"]
+
+
+def test_pseudonyms_against_plain_rounds(spark):
+    """Cards, telephone numbers, addresses and days by Feistel rounds written down in Python."""
+    import datetime
+    import hashlib
+
+    def drawn(kind, step, value, below):
+        return int(hashlib.sha256(f"{pii.KEY}/{kind}/{step}/{value}".encode()).hexdigest()[:15], 16) % below
+
+    def rounds(kind, a, b, m, n):
+        for r in range(1, pii.ROUNDS + 1):
+            a, b, m, n = b, (a + drawn(kind, r, b, m)) % m, n, m
+        return a, b
+
+    def digits(kind, text):
+        half = len(text) // 2
+        a, b = rounds(kind, int(text[:half]), int(text[half:]), 10**half, 10 ** (len(text) - half))
+        return f"{a:0{half}}{b:0{len(text) - half}}"
+
+    def check(body):
+        return str(-sum(sum(divmod(int(c) * (2 - i % 2), 10)) for i, c in enumerate(reversed(body))) % 10)
+
+    rng, values = random.Random(19), {}
+    for _ in range(60):
+        body = str(rng.randrange(10**11, 10**18))
+        new = digits("card", body)
+        values[body + check(body)] = new + check(new)
+        number = f"{rng.randrange(10**10):010}"
+        values["+4" + number] = "+4" + digits("phone", number)
+        parts = [rng.randrange(256) for _ in range(4)]
+        a, b = rounds("ip", parts[0] * 256 + parts[1], parts[2] * 256 + parts[3], 65536, 65536)
+        values[".".join(map(str, parts))] = f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+        day = datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(73_049))
+        a, b, first, size = (day.year - 1900) * 12 + day.month - 1, day.day, 1 if day.day <= 12 else 13, 12 if day.day <= 12 else 19
+        b -= first
+        while True:
+            a, b = rounds("date", a, b, 2400, size)
+            try:
+                values[str(day)] = str(datetime.date(1900 + a // 12, a % 12 + 1, b + first))
+                break
+            except ValueError:
+                continue
+    got = {r.v: r.text for r in pii.pseudonymise(spark.createDataFrame([(v, v) for v in values], "v string, text string"), pii.KEY).collect()}
+    assert got == values
+
+
+def test_a_key_is_asked_for(spark, docs):
+    with pytest.raises(ValueError, match=pii.SETTING):
+        pii.pseudonymise(docs)
+    spark.conf.set(pii.SETTING, "mine")
+    try:
+        df = spark.createDataFrame([("10.0.0.1",)], "text string")
+        assert pii.pseudonymise(df).first() == pii.pseudonymise(df, "mine").first() != pii.pseudonymise(df, pii.KEY).first()
+    finally:
+        spark.conf.unset(pii.SETTING)
+
+
 def test_pseudonyms_elsewhere(docs, none, spark):
-    same = pii.pseudonymise(docs)
+    same = pii.pseudonymise(docs, pii.KEY)
     assert same.columns == [*docs.columns, "n_replaced"] and Counter((r.doc_id, r.text) for r in same.collect()) == Counter((r[0], r[1]) for r in corpus())
-    assert pii.pseudonymise(none).collect() == []
+    assert pii.pseudonymise(none, pii.KEY).collect() == []
     odd = spark.createDataFrame([("x 10.0.0.1", "n", 1), (None, "n", 2)], "text string, new string, n_replaced int")
-    assert [(r.new, r.n_replaced) for r in pii.pseudonymise(odd).collect()] == [("n", 1), ("n", 0)]
+    assert [(r.new, r.n_replaced) for r in pii.pseudonymise(odd, pii.KEY).collect()] == [("n", 1), ("n", 0)]
 
 
 # --- sharding ------------------------------------------------------------------
