@@ -301,6 +301,28 @@ def test_mix(docs, none):
     assert mixing.mix(none).collect() == [] and mixing.take(none).collect() == []
 
 
+def test_repeated_rows_come_near_the_target(spark):
+    kind = "doc_id long, text string, source string"
+    many = spark.createDataFrame([(1, "ten words " * 5, "a")] * 100 + [(2, "x " * 500, "b"), (None, "y z", None), (None, "y z", None), (None, "y z", None)], kind).repartition(7)
+    rows = mixing.mix(many).collect()
+    sums, targets = Counter(), {r.source: r.target for r in rows}
+    for r in rows:
+        sums[r.source] += r.taken
+    assert abs(sums["a"] - targets["a"]) <= 5 and abs(sums[None] - targets[None]) <= 1 and abs(sums["b"] - targets["b"]) <= 250
+    assert Counter(r.doc_id for r in mixing.take(many).collect()) == Counter(r.doc_id for r in rows for _ in range(r.copies))
+
+
+def test_hashes_that_agree_are_refined(spark, monkeypatch):
+    """As if all hashes of a source were one: rows are told apart by what they are, the mix stays near its target."""
+    monkeypatch.setattr(mixing, "_hash", lambda doc_id, text: F.lit(5).cast("long"))
+    df = spark.createDataFrame([(i % 40, "w " * (i % 40 + 1), "ab"[i % 2]) for i in range(120)], "doc_id long, text string, source string").repartition(5)
+    for rows in (mixing.mix(df).collect(), mixing.mix(df.repartition(3)).collect()):
+        for source in "ab":
+            own = [r for r in rows if r.source == source]
+            assert abs(sum(r.taken for r in own) - own[0].target) <= max(r["size"] for r in own) / 2
+    assert Counter((r.doc_id, r.taken) for r in rows) == Counter((r.doc_id, r.taken) for r in mixing.mix(df).collect())
+
+
 def test_take(docs):
     taken = mixing.take(docs)
     assert taken.columns == docs.columns and sum(len(SPLIT.findall(r.text or "")) for r in taken.select("text").collect()) == sum(r.taken for r in mixing.mix(docs).collect())
