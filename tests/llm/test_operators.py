@@ -74,24 +74,22 @@ def brute_components(rows):
             x = parent[x]
         return x
 
-    named = [k for k, (i, _) in enumerate(rows) if i is not None]
-    for a in named:
-        for b in named:
-            s, t = sets[a], sets[b]
+    for a, s in enumerate(sets):
+        for b, t in enumerate(sets):
             if s and t and a < b and 100 * len(s & t) >= 80 * len(s | t):
                 parent[find(a)] = find(b)
     least = {}
-    for k in named:
-        least[find(k)] = min(least.get(find(k), 1 << 60), rows[k][0])
-    by_set = {sets[k]: least[find(k)] for k in named if sets[k]}
-    return Counter((i, len(sets[k]), by_set.get(sets[k]) if sets[k] else i) for k, (i, _) in enumerate(rows))
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(least.get(find(k), 1 << 60), i)
+    return Counter((i, len(sets[k]), least.get(find(k)) if sets[k] else i) for k, (i, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("limits", [(512, 1_500_000, 512), (3, 400, 10_000), (2, 100, 4)])
+@pytest.mark.parametrize("limits", [(512, 30_000, 512), (3, 400, 10_000), (2, 60, 4)])
 def test_ngram_join(docs, monkeypatch, limits):
-    cell, block, rare = limits
+    cell, part, rare = limits
     monkeypatch.setattr(ngram_join, "CELL", cell)
-    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "PART", part)
     monkeypatch.setattr(ngram_join, "RARE", rare)
     monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0 if cell == 3 else 1000)
     rows = [(r[0], r[1]) for r in corpus()]
@@ -101,7 +99,77 @@ def test_ngram_join(docs, monkeypatch, limits):
 
 
 def test_ngram_join_empty(none):
-    assert ngram_join.ngram_jaccard_join(none).collect() == []
+    assert ngram_join.ngram_jaccard_join(none).collect() == [] and ngram_join.one_of_each(none).collect() == []
+
+
+def near_copies(rng, base, times, edits):
+    out = []
+    for _ in range(times):
+        copy = list(base)
+        for _ in range(edits):
+            copy[rng.randrange(len(copy))] = f"w{rng.randrange(10**6)}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_rows_without_an_id_link(spark):
+    rng = random.Random(20)
+    a = prose(rng, 100).split()
+    b, c = a[:52] + ["x"] + a[53:], a[:52] + ["x"] + a[53:96] + ["y", "z", "p", "q"]
+    far = a[:8] + ["u"] + a[9:]
+    rows = [(9, " ".join(far)), (None, " ".join(a)), (5, " ".join(c)), (None, " ".join(b)), (None, "one two three four five six"), (None, "one two three four five six")]
+    got = Counter(tuple(r) for r in ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == brute_components(rows) and {r[2] for r in got} == {5, None}
+
+
+def test_large_components_are_dealt(spark, monkeypatch):
+    """A group of near copies, others that only frequent shingles tie to it, and chains, over many parts."""
+    monkeypatch.setattr(ngram_join, "PART", 900)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 2)
+    monkeypatch.setattr(ngram_join, "RARE", 8)
+    rng = random.Random(21)
+    base = prose(rng, 60).split()
+    texts = near_copies(rng, base, 60, 1) + near_copies(rng, base, 40, 2) + near_copies(rng, base, 20, 5)
+    texts += [" ".join(base[:30] + prose(rng, 30).split()) for _ in range(20)]
+    chain = prose(rng, 60).split()
+    for k in range(25):  # each is like the next alone
+        chain = chain[2:] + [f"c{k}", f"d{k}"]
+        texts.append(" ".join(chain))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    for rounds in (6, 1):
+        monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+        got = Counter(tuple(r) for r in ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+        assert got == brute_components(rows)
+
+
+def test_one_of_each(spark, docs):
+    rng = random.Random(22)
+    text = prose(rng, 50)
+    near = text + " end"
+    kind = "doc_id long, text string, row string, key int"
+    rows = [(3, text, "a", 1), (3, text, "a", 1), (1, near, "b", 2), (1, near, "b", 2), (1, "another text under one id " * 3, "c", 3), (None, text, "d", 4), (None, "no id at all but words here", "e", 5), (None, "no id at all but words here", "f", 6), (8, "", "g", 7), (8, "", "g", 7), (None, None, "h", 8)]
+    got = sorted((r.row, r.key) for r in ngram_join.one_of_each(spark.createDataFrame(rows, kind).repartition(3)).collect())
+    assert [x for x in got if x not in (("e", 5), ("f", 6))] == [("b", 2), ("c", 3), ("g", 7), ("g", 7), ("h", 8)] and len(got) == 6
+    kept, groups = ngram_join.one_of_each(docs).collect(), {}
+    whole = [(r[0], r[1]) for r in corpus()]
+    sets = [shingles(t) for _, t in whole]
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, s in enumerate(sets):
+        for b, t in enumerate(sets):
+            if s and t and a < b and 100 * len(s & t) >= 80 * len(s | t):
+                parent[find(a)] = find(b)
+    for k, (i, t) in enumerate(whole):
+        if sets[k]:
+            groups.setdefault(find(k), []).append((i is None, i or 0))
+    assert Counter(r.doc_id for r in kept if shingles(r.text)) == Counter(None if min(g)[0] else min(g)[1] for g in groups.values())
+    assert Counter(r.doc_id for r in kept if not shingles(r.text)) == Counter(i for k, (i, _) in enumerate(whole) if not sets[k])
 
 
 def test_rows_after_an_overflow_go_to_the_node():
