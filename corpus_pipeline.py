@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,15 +19,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links connect: that with the smallest doc_id; all without a group."""
-    joined = ngram_join.ngram_jaccard_join(docs)
-    rest = joined.where("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(rest, docs.doc_id == rest.gone, "left_anti").select(*docs.columns)
+    """One row of each group that links connect: that with the smallest doc_id; all without words."""
+    return ngram_join.one_of_each(docs)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with pseudonyms for personal values in their texts; n_chars counts the new text."""
-    new = pii.pseudonymise(docs)
+    """All documents, with pseudonyms for personal values in their texts; n_chars counts the new text.
+
+    The key is the session's; without one a warning says that the public one of tests is used.
+    """
+    if (key := spark.conf.get(pii.SETTING, None)) is None:
+        warnings.warn(f"{pii.SETTING} is not set: pseudonyms under the public key can be undone", stacklevel=2)
+        key = pii.KEY
+    new = pii.pseudonymise(docs, key)
     return new.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
