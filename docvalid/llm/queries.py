@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extraction": html_text.op10_html_extraction,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": ngram_join.ORACLE_SQL, "op2_quality": quality.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": ngram_join.ORACLE_SQL, "op2_quality": quality.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op8_sharding": sharding.ORACLE_SQL}

@@ -26,11 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .shared import plain, table, tidy, written
 
 #: Rows of a shard and queries that meet it in a task, about; a leaf's points; regions at most.
 SHARD, QUERIES, LEAF, REGIONS = 16_384, 65_536, 128, 1024
+#: Rows of hashes of repeated vectors up to which they are broadcast (16 bytes each).
+BROADCAST_ROWS = 200_000
 #: Rows, and bytes of vectors, of the sample that the regions' vantage points and the factor come from, about.
 SAMPLE, SAMPLE_BYTES = 16_384, 64 << 20
 #: Factors that are tried, queries of the sample that try them, and the recall one must reach.
@@ -281,7 +284,8 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, every: int = 2
     """
 
     def valid(df: DataFrame) -> DataFrame:
-        rows = plain(df, id=df[f"`{id_col}`"].cast("long"), vector=df[f"`{vector_col}`"].cast("array<double>"))
+        single = df.schema[vector_col].dataType == ArrayType(FloatType())  # as they are, half the bytes
+        rows = plain(df, id=df[f"`{id_col}`"].cast("long"), vector=df[f"`{vector_col}`"] if single else df[f"`{vector_col}`"].cast("array<double>"))
         good = F.forall("vector", lambda x: F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists("vector", lambda x: x != 0)
         rows = rows.where("id IS NOT NULL AND vector IS NOT NULL").where(good)
         # two hashes stand for a vector; equal vectors have both
@@ -292,17 +296,21 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, every: int = 2
     asks = valid(queries) if queries is not None else rows.where(F.pmod("id", F.lit(every)) == 0)
     asks = asks.groupBy("id", "a", "b").agg(F.first("vector").alias("vector"))
     wanted = asks.groupBy("a", "b").agg(F.min("id").alias("id"), F.first("vector").alias("vector"))
+    # only vectors that stand in several rows meet
+    repeated = written(rows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), "repeated")
+    few = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
+    several = rows.join(few, ["a", "b"]).groupBy("id", "a", "b").agg(F.first("vector").alias("vector"))
     same = Window.partitionBy("a", "b").orderBy("id")
-    once = rows.groupBy("id", "a", "b").agg(F.first("vector").alias("vector"))
-    base = written(once.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).select("a", "b", "id", "vector"), "vectors")
+    several = several.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1)
+    base = rows.join(few, ["a", "b"], "left_anti").select("a", "b", "id", "vector").union(several.select("a", "b", "id", "vector"))
 
-    size = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    stats = base.agg(F.count("*").alias("n"), F.max(size).alias("square"), F.avg(F.size("vector")).alias("length")).first()
+    size = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    stats = rows.agg(F.count("*").alias("n"), F.max(size).alias("square"), F.avg(F.size("vector")).alias("length")).first()
     square = float(stats.square or 0.0) * (1 + 1e-12)
     most = max(1, min(SAMPLE, int(SAMPLE_BYTES / (8 * max(1.0, stats.length or 1.0)))))
     drawn = F.pmod(F.xxhash64(F.lit("sample"), "id", "a"), F.lit(1 << 30)) < int(min(1.0, most / max(1, stats.n)) * (1 << 30))
     sample: dict[int, np.ndarray] = {}
-    for batch in base.where(drawn).orderBy("id", "a").select("vector").toArrow().to_batches():
+    for batch in rows.where(drawn).orderBy("id", "a").select("vector").toArrow().to_batches():
         for length, part in _by_length(batch, 0):
             sample[length] = np.vstack([*([sample[length]] if length in sample else []), _vectors(part.column(0))])
     if factor is None:
@@ -310,7 +318,8 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, every: int = 2
     levels = int(np.ceil(np.log2(max(1.0, min(REGIONS, stats.n / shard)))))
     regions = {length: Regions.of(lifted(s, square), levels) for length, s in sample.items() if levels and len(s) >= 4 << levels}
 
-    kind = "a long, b long, id long, vector array<double>, length long, region long, far array<double>"
+    kind_of = rows.schema["vector"].dataType.simpleString()
+    kind = f"a long, b long, id long, vector {kind_of}, length long, region long, far array<double>"
     base = written(base.mapInArrow(tidy(_placed(regions, square, False)), kind), "placed")
     wanted = written(wanted.select("a", "b", "id", "vector").mapInArrow(tidy(_placed(regions, square, True)), kind).drop("id", "far"), "queries")
     bounds = [F.min(F.get("far", F.lit(i))).alias(f"low{i}") for i in range(levels)] + [F.max(F.get("far", F.lit(i))).alias(f"high{i}") for i in range(levels)]
@@ -344,7 +353,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, every: int = 2
         floors = found.groupBy("a", "b").agg(F.min("score").alias("least"), F.count("*").alias("n"))
         floor = F.when(F.col("n") > k, F.col("least")).otherwise(F.lit(float("-inf")))
         further = wanted.join(floors, ["a", "b"], "left").select("a", "b", "vector", "length", "region", floor.alias("floor"))
-        further = written(further.mapInArrow(tidy(_others(regions, square, factor)), "a long, b long, vector array<double>, length long, region long, floor double"), "further")
+        further = written(further.mapInArrow(tidy(_others(regions, square, factor)), f"a long, b long, vector {kind_of}, length long, region long, floor double"), "further")
         found = best(found.union(met(further)))
     lists = found.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "mark", "score"))).alias("list"))
     own = lambda x: (x["vec_id"] == F.col("id")) & (x["mark"] == F.col("a"))
