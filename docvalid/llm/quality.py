@@ -38,49 +38,34 @@ def word_list(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SEPARATORS))
 
 
-def _windows(words: Column) -> Column:
-    """Each 3-word window as a hash whose low bits are the window's place."""
+def _repeats(words: Column) -> Column:
+    """Number of words in 3-word windows that occur twice or more, compared as texts."""
 
-    def of(ws: Column) -> Column:
-        low = F.ceil(F.log2(F.size(ws).cast("double") + 1)).cast("int")
-        mask = F.call_function("shiftleft", F.lit(1).cast("long"), low) - 1
+    def one(ws: Column) -> Column:
+        # a window's words hold no space, so their text is the window's alone
+        window = lambda i: F.struct(F.concat_ws(" ", F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)).alias("text"), i.alias("at"))
+        return F.array_sort(F.transform(F.sequence(F.lit(0), F.size(ws) - 3), window))
 
-        def one(i: Column) -> Column:
-            return F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))
+    def again(sorted_: Column) -> Column:
+        same = lambda x, k: F.coalesce(x["text"] == F.get(sorted_, k)["text"], F.lit(False))
+        return F.transform(F.filter(sorted_, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["at"])
 
-        return F.when(F.size(ws) >= 3, F.transform(F.sequence(F.lit(0), F.size(ws) - 3), one)).otherwise(F.array().cast("array<bigint>"))
+    places = F.array_sort(let(let(words, one), again))
+    start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
+    return F.aggregate(places, start, lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(3), p - acc["last"])).alias("n")))["n"]
 
-    return let(words, of)
 
-
-def _repeat_words(words: Column, windows: Column) -> Column:
-    """Number of words in windows that occur twice or more; windows: sorted, so equal ones are neighbours."""
-
-    def of(pair: Column) -> Column:
-        ws, sorted_ = pair["w"], pair["h"]
-        low = F.ceil(F.log2(F.size(ws).cast("double") + 1)).cast("int")
-        mask = F.call_function("shiftleft", F.lit(1).cast("long"), low) - 1
-
-        def same(x: Column, k: Column) -> Column:
-            other = F.get(sorted_, k)
-            i, j = x.bitwiseAND(mask).cast("int"), other.bitwiseAND(mask).cast("int")
-            text = (F.get(ws, i) == F.get(ws, j)) & (F.get(ws, i + 1) == F.get(ws, j + 1)) & (F.get(ws, i + 2) == F.get(ws, j + 2))
-            return F.coalesce((x.bitwiseXOR(other).bitwiseAND(F.bitwise_not(mask)) == 0) & text, F.lit(False))
-
-        found = F.filter(sorted_, lambda x, k: same(x, k - 1) | same(x, k + 1))
-        return F.transform(found, lambda x: x.bitwiseAND(mask))
-
-    places = F.array_sort(let(F.struct(words.alias("w"), windows.alias("h")), of))
-    start = F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
-    counted = F.aggregate(places, start, lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(3).cast("long"), p - acc["last"])).alias("n")))
-    return counted["n"]
+def _repeat_words(words: Column) -> Column:
+    """As _repeats; most texts repeat no window, which hashes show in less time: equal windows have equal hashes."""
+    hashes = let(words, lambda ws: F.transform(F.sequence(F.lit(0), F.size(ws) - 3), lambda i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2))))
+    none = (F.size(words) < 4) | let(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h))
+    return F.when(none, F.lit(0).cast("long")).otherwise(_repeats(words))
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, text and the base columns of a table (doc_id, lang, text)."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.withColumn("words", word_list(F.col("text")))
-    rows = rows.withColumn("windows", F.sort_array(_windows(F.col("words"))))
     lines = F.filter(F.split(text, "\n", -1), lambda line: F.length(F.btrim(line, F.lit(" \t\n\x0b\f\r"))) > 0)
     return rows.select(
         "doc_id", "lang", "text", "words",
@@ -88,7 +73,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
         F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.when(F.instr(text, "\n") > 0, let(lines, lambda ls: F.size(ls) - F.size(F.array_distinct(ls)))).otherwise(F.lit(0)).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("words"), F.col("windows")).alias("n_repeat_words"),
+        _repeat_words(F.col("words")).alias("n_repeat_words"),
     )
 
 
@@ -99,15 +84,13 @@ def _histograms(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns({"upper": upper, "digits": digits, "marks": marks, "n_chars": F.length(text).cast("long")})
     letters = F.col("word_chars") - F.col("upper") - F.col("digits") - F.col("marks") - F.col("n_symbols")
     chars = F.array(letters, "upper", "digits", "marks", "n_symbols", F.col("n_chars") - F.col("word_chars"))
-    every = sorted({w for ws in COMMON_WORDS.values() for w in ws})
-    rows = rows.withColumn("known", F.filter("words", lambda w: w.isin(every)))
     common = None
     for lang, ws in COMMON_WORDS.items():
-        counts = F.transform(F.array(*[F.lit(w) for w in ws]), lambda c: F.size(F.filter("known", lambda w: w == c)).cast("long"))
+        counts = let(F.filter("words", lambda w: w.isin(ws)), lambda k: F.array(*[(F.size(k) - F.size(F.array_remove(k, w))).cast("long") for w in ws]))
         common = F.when(F.col("lang") == lang, counts) if common is None else common.when(F.col("lang") == lang, counts)
     rows = rows.withColumn("found", common)
     others = F.col("n_words") - F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a + x)
-    return rows.withColumn("chars", chars).withColumn("common", F.concat("found", F.array(others))).drop("text", "words", "known", "found", "upper", "digits", "marks")
+    return rows.withColumn("chars", chars).withColumn("common", F.concat("found", F.array(others))).drop("text", "words", "found", "upper", "digits", "marks")
 
 
 def js_distance(a: Column, b: Column) -> Column:
