@@ -1,19 +1,19 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A term is a word (lower case in A-Z, without punctuation at its ends) or the first
-4, 5 or 6 bytes of a longer one, hashed to 20 bits.  The machine's inputs are all
-terms of enough training documents, where a document has them, however often: with
-their log ratio as value if their shares among toxic and other documents differ
-clearly, else with 1.  The machine is
+4, 5 or 6 bytes of a longer one, hashed to 20 bits.  The machine's inputs are terms,
+where a document has them, however often: those whose shares among toxic and other
+training documents differ clearly, with their log ratio as value, and those of pairs,
+as an insult with the mention of a group, that tell what the former do not, with 1.
+Pairs are looked for among the PAIRED terms that vary most: what a machine of the clear
+terms leaves unexplained in the documents that have both, as a squared deviation in
+units of its variance, is by PAIR more than in those that have either.  The machine is
 
     bias + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j,
 
-so that a pair of terms, as an insult with the mention of a group, can weigh more or
-less than both alone, whatever each alone says.  The clear terms are fitted first,
-then all together, for as many epochs as lower the loss on documents left out of the
-fit; if none does, the other inputs' weights and factors are 0 and are left away.
-It is fitted on the driver from at most TRAINING labelled
-documents; every document is scored from its whole text, on the executors.
+so that a pair of terms can weigh more or less than both alone.  It is fitted on the
+driver from at most TRAINING labelled documents; every document is scored from its
+whole text, on the executors.
 """
 
 from __future__ import annotations
@@ -23,35 +23,36 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import plain, table, tidy
+from .shared import plain, table, tidy, written
 from .textarrays import pieces, string_buffers, word_hashes, words
 
 BITS = 20
 PREFIXES = (4, 5, 6)
-#: Labelled documents that the machine is fitted on, at most; which ones, a hash of the id decides.
-TRAINING = 16_000
+#: Labelled documents that the machine is fitted on, and bytes of their texts, at most; which ones, a hash of the id decides.
+TRAINING, TRAINING_BYTES = 16_000, 64 << 20
 #: Inputs, factors, and how clearly a term must differ (twice its log-likelihood ratio) in how many documents.
 INPUTS, FACTORS, CLEAR, LEAST_DOCUMENTS = 1024, 8, 18.0, 4
 EPOCHS, BATCH, RATE, DECAY = 25, 256, 0.02, 1e-4
-#: The fit of all terms: epochs at most and without a gain, documents a step, spread of the first factors, share of the loss that is a gain.
-ALL_EPOCHS, PATIENCE, ALL_BATCH, SPREAD, GAIN = 200, 60, 4096, 0.03, 0.02
-#: Its steps: what is added to a gradient's size makes them small where it is small, as it is for terms that say nothing.
-ALL_RATE, EPSILON = 0.05, 0.05
+#: Terms among which pairs are looked for, twice the gain in log-likelihood that makes one clear, and the epochs where there are any.
+PAIRED, PAIR, PAIR_EPOCHS = 2048, 40.0, 120
 
-#: ASCII marks, which a word's ends lose, up to EDGES on either side.
+#: ASCII marks, which a word's ends lose.
 _EDGE = np.array([33 <= c < 127 and not chr(c).isalnum() for c in range(256)])
-EDGES = 6
 
 
 def document_terms(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, term) of texts that lie end to end, once for each occurrence."""
     starts, ends, of = words(data, at)
-    for _ in range(EDGES):
-        ends = ends - ((ends > starts) & _EDGE[data[np.maximum(ends - 1, 0)]])
-        starts = starts + ((ends > starts) & _EDGE[data[np.minimum(starts, len(data) - 1)]] if len(data) else 0)
+    if len(starts):
+        # the next byte that is no mark, and the last one before
+        places = np.flatnonzero(~_EDGE[data])
+        first, last = np.searchsorted(places, starts), np.searchsorted(places, ends) - 1
+        inside = first <= last
+        starts = np.where(inside, places[np.minimum(first, len(places) - 1)] if len(places) else starts, ends)
+        ends = np.where(inside, places[np.maximum(last, 0)] + 1 if len(places) else ends, ends)
     real = ends > starts
     starts, ends, of = starts[real], ends[real], of[real]
     documents, terms = [of], [word_hashes(data, starts, ends) >> np.uint64(64 - BITS)]
@@ -71,126 +72,78 @@ class Machine:
     factors: np.ndarray
     bias: float
 
+    def raw(self, documents: np.ndarray, terms: np.ndarray, n: int) -> np.ndarray:
+        """The machine's value for each of n documents, given their terms in any order and number."""
+        out = np.full(n, self.bias)
+        if len(self.value):
+            inputs = self.place[terms].astype(np.int64)
+            held = inputs >= 0
+            pairs = np.unique(documents[held] * len(self.value) + inputs[held])
+            d, i = pairs // len(self.value), pairs % len(self.value)
+            x = self.value[i]
+            out += np.bincount(d, self.weight[i] * x, n)
+            for f in range(self.factors.shape[1]):
+                vx = self.factors[i, f] * x
+                out += (np.bincount(d, vx, n) ** 2 - np.bincount(d, vx * vx, n)) / 2
+        return out
+
+    def of(self, terms: list[np.ndarray]) -> np.ndarray:
+        """Scores of documents given as their distinct terms."""
+        documents = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+        return sigmoid(self.raw(documents, np.concatenate([*terms, np.zeros(0, np.int64)]).astype(np.int64), len(terms)))
+
     def scores(self, texts: pa.Array) -> np.ndarray:
         data, at = string_buffers(texts)
         out = np.full(len(at) - 1, self.bias)
-        if len(self.value):
-            for first, last in pieces(at):
-                low, high = at[first], at[last]
-                documents, terms = document_terms(data[low:high], at[first : last + 1] - low)
-                inputs = self.place[terms].astype(np.int64)
-                held = inputs >= 0
-                pairs = np.unique(documents[held] * len(self.value) + inputs[held])
-                d, i = pairs // len(self.value), pairs % len(self.value)
-                x, n = self.value[i], last - first
-                out[first:last] += np.bincount(d, self.weight[i] * x, n)
-                for f in range(self.factors.shape[1]):
-                    vx = self.factors[i, f] * x
-                    out[first:last] += (np.bincount(d, vx, n) ** 2 - np.bincount(d, vx * vx, n)) / 2
-        return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
-
-
-class Slice:
-    """Documents of one step, as the entries of their inputs by document and by input."""
-
-    def __init__(self, inputs: list[np.ndarray], value: np.ndarray, labels: np.ndarray):
-        self.labels, self.column = labels, np.concatenate([*inputs, np.zeros(0, np.int32)]).astype(np.int32)
-        self.row = np.repeat(np.arange(len(inputs), dtype=np.int32), [len(i) for i in inputs])
-        self.x = value[self.column].astype(np.float32)
-        order = np.argsort(self.column, kind="stable")
-        self.by_row, self.by_x = self.row[order], self.x[order]
-        self.columns, self.cuts = np.unique(self.column[order], return_index=True)
-
-    def by_document(self, of_input: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.x * of_input[self.column], len(self.labels))
-
-    def by_input(self, of_document: np.ndarray) -> np.ndarray:
-        """Of the inputs in self.columns."""
-        return np.add.reduceat(self.by_x * of_document[self.by_row].astype(np.float32), self.cuts) if len(self.cuts) else np.zeros(0, np.float32)
-
-    def raw(self, bias: float, weight: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        xv = [self.by_document(v) for v in factors]
-        squares = np.bincount(self.row, self.x**2 * (factors**2).sum(0)[self.column], len(self.labels))
-        return bias + self.by_document(weight) + (sum(s**2 for s in xv) - squares) / 2, xv
-
-
-def _loss(slices: list[Slice], state: list[np.ndarray]) -> float:
-    raw = np.concatenate([s.raw(float(state[0][0]), state[1], state[2])[0] for s in slices])
-    y = np.concatenate([s.labels for s in slices])
-    return float(np.mean(np.logaddexp(0, np.clip(raw, -30, 30)) - y * np.clip(raw, -30, 30)))
-
-
-def _all_terms(base: Machine, terms: list[np.ndarray], labels: np.ndarray, seed: int) -> tuple[Machine, list[Slice], np.random.Generator]:
-    """base with all terms of enough documents as inputs, and its documents in steps."""
-    rng, counts = np.random.default_rng(seed), np.zeros(1 << BITS)
+        for first, last in pieces(at) if len(self.value) else ():
+            low, high = at[first], at[last]
+            documents, terms = document_terms(data[low:high], at[first : last + 1] - low)
+            out[first:last] = self.raw(documents, terms, last - first)
+        return sigmoid(out)
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def clearness(seen: np.ndarray, total: np.ndarray, positive: int, n: int) -> np.ndarray:
+    """Twice the log-likelihood ratio of having something (total documents, of which seen are toxic) and being toxic (positive of n)."""
+    out = np.zeros(np.shape(total))
+    for count, rows, columns in ((seen, total, positive), (total - seen, total, n - positive), (positive - seen, n - total, positive), (n - positive - total + seen, n - total, n - positive)):
+        expected = np.maximum(rows * (columns / n), 1e-9)
+        out += 2 * np.where(count > 0, count * np.log(np.maximum(count, 1) / expected), 0)
+    return out
+
+
+def clear_pairs(terms: list[np.ndarray], labels: np.ndarray, expected: np.ndarray) -> list[tuple[float, int, int]]:
+    """(gain, term, term) of the pairs that tell what the expected labels leave open, the clearest first."""
+    n = len(labels)
+    counts = np.zeros(1 << BITS)
     for t in terms:
         counts[t] += 1
-    more = np.flatnonzero((counts >= LEAST_DOCUMENTS) & (base.place < 0))
-    place = base.place.copy()
-    place[more] = len(base.value) + np.arange(len(more))
-    value = np.concatenate([base.value, np.ones(len(more))])
-    weight = np.concatenate([base.weight, np.zeros(len(more))]).astype(np.float32)
-    factors = np.concatenate([base.factors, np.zeros((len(more), FACTORS))]).astype(np.float32)
-    slices, order = [], rng.permutation(len(terms))
-    for a in range(0, len(terms), ALL_BATCH):
-        rows = order[a : a + ALL_BATCH]
-        slices.append(Slice([(f := place[terms[r]])[f >= 0] for r in rows], value, labels[rows]))
-    return Machine(place, value, weight, factors, base.bias), slices, rng
-
-
-def _fit_all(machine: Machine, slices: list[Slice], rng: np.random.Generator, epochs: int):
-    """The state (bias, weights, factors by factor) after each of so many epochs by Adam over all terms."""
-    factors = np.ascontiguousarray(machine.factors.T)
-    factors = np.where(factors == 0, rng.normal(0, SPREAD, factors.shape), factors).astype(np.float32)
-    state = [np.array([machine.bias], np.float32), machine.weight.copy(), factors]
-    first, second, step = [np.zeros_like(s) for s in state], [np.zeros_like(s) for s in state], 0
-    for _ in range(epochs):
-        for k in rng.permutation(len(slices)):
-            one = slices[k]
-            bias, weight, factors = state
-            raw, xv = one.raw(float(bias[0]), weight, factors)
-            error = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - one.labels) / len(one.labels)
-            grads = [np.array([error.sum()], np.float32), DECAY * weight, DECAY * factors]
-            grads[1][one.columns] += one.by_input(error)
-            squares = np.add.reduceat(one.by_x**2 * error[one.by_row].astype(np.float32), one.cuts) if len(one.cuts) else 0
-            for f, s in enumerate(xv):
-                grads[2][f, one.columns] += one.by_input(error * s) - factors[f, one.columns] * squares
-            step += 1
-            for j, g in enumerate(grads):
-                first[j] += 0.1 * (g - first[j])
-                second[j] += 0.001 * (g * g - second[j])
-                state[j] = state[j] - ALL_RATE * (first[j] / (1 - 0.9**step)) / (np.sqrt(second[j] / (1 - 0.999**step)) + EPSILON)
-        yield state
+    varying = np.where(counts >= LEAST_DOCUMENTS, counts * (n - counts), 0)
+    among = np.argsort(-varying, kind="stable")[:PAIRED]
+    among = among[varying[among] > 0]
+    place = np.full(1 << BITS, -1, np.int32)
+    place[among] = np.arange(len(among))
+    left, variance = np.zeros((len(among), len(among))), np.zeros((len(among), len(among)))
+    for first in range(0, n, 2000):
+        x = np.zeros((min(2000, n - first), len(among)), np.float32)
+        for row, t in enumerate(terms[first : first + 2000]):
+            found = place[t]
+            x[row, found[found >= 0]] = 1
+        p = expected[first : first + 2000]
+        left += x.T @ (x * (labels[first : first + 2000] - p)[:, None].astype(np.float32))
+        variance += x.T @ (x * np.maximum(p * (1 - p), 0.01)[:, None].astype(np.float32))
+    alone, out = np.diag(left) ** 2 / np.maximum(np.diag(variance), 1e-9), []
+    for i in range(len(among) - 1):
+        gain = left[i, i + 1 :] ** 2 / np.maximum(variance[i, i + 1 :], 1e-9) - np.maximum(alone[i], alone[i + 1 :])
+        out += [(float(gain[j]), int(among[i]), int(among[i + 1 + j])) for j in np.flatnonzero((gain >= PAIR) & (np.abs(left[i, i + 1 :]) >= LEAST_DOCUMENTS))]
+    return sorted(out, key=lambda p: (-p[0], p[1:]))
 
 
 def fit(terms: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     """The machine of documents given as their distinct terms, by Adam on the logistic loss."""
-    n, out = len(labels), fit_clear(terms, labels, seed)
-    if not 0 < labels.sum() < n:
-        return out
-    left_out = np.random.default_rng(seed).permutation(n) % 5 == 0
-    kept = [t for t, o in zip(terms, left_out) if not o]
-    machine, slices, rng = _all_terms(fit_clear(kept, labels[~left_out], seed), kept, labels[~left_out], seed)
-    test = [Slice([(f := machine.place[t])[f >= 0] for t, o in zip(terms, left_out) if o], machine.value, labels[left_out])]
-    least = _loss(test, [np.array([machine.bias]), machine.weight, machine.factors.T]) * (1 - GAIN)
-    best = 0
-    for epoch, state in enumerate(_fit_all(machine, slices, rng, ALL_EPOCHS), 1):
-        loss = _loss(test, state)
-        if loss < least:
-            best, least = epoch, loss
-        elif epoch >= best + PATIENCE:
-            break
-    del machine, slices, test
-    if not best:
-        return out
-    machine, slices, rng = _all_terms(out, terms, labels, seed)
-    for state in _fit_all(machine, slices, rng, best):
-        pass
-    return Machine(machine.place, machine.value, state[1], np.ascontiguousarray(state[2].T), float(state[0][0]))
-
-
-def fit_clear(terms: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
-    """The machine of the clear terms alone."""
     size = 1 << BITS
     place, n, positive = np.full(size, -1, np.int32), len(labels), int(labels.sum())
     rate = np.clip((positive + 0.5) / (n + 1), 1e-3, 1 - 1e-3)
@@ -202,26 +155,37 @@ def fit_clear(terms: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Mac
         (with_ if y else without)[t] += 1
     ratio = np.log((with_ + 0.5) / (positive + 1)) - np.log((without + 0.5) / (n - positive + 1))
     both = with_ + without
-    clear = np.zeros(size)  # twice the log-likelihood ratio of the table term x label
-    for seen, of in ((with_, positive), (without, n - positive), (positive - with_, positive), (n - positive - without, n - positive)):
-        expected = np.maximum((both if seen is with_ or seen is without else n - both) * (of / n), 1e-9)
-        clear += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / expected), 0)
+    clear = clearness(with_, both, positive, n)
     clear[(both < LEAST_DOCUMENTS) | (np.abs(ratio) < 1)] = 0
     inputs = np.argsort(-clear, kind="stable")[:INPUTS]
     inputs = inputs[clear[inputs] >= CLEAR]
-    if not len(inputs):
-        return empty
+    machine = _fitted(terms, labels, inputs, ratio[inputs], np.full(len(inputs), 0.01), EPOCHS, seed)
+    paired: dict[int, None] = {}
+    for _, i, j in clear_pairs(terms, labels, machine.of(terms)):
+        if len(paired) + 2 <= INPUTS:
+            paired |= {i: None, j: None}
+    if not paired:
+        return machine
+    more = np.array([t for t in paired if machine.place[t] < 0], np.int64)
+    spread = np.full(len(inputs) + len(more), 0.1)
+    spread[[k for k, t in enumerate(inputs.tolist()) if t not in paired]] = 0.01
+    return _fitted(terms, labels, np.concatenate([inputs, more]), np.concatenate([ratio[inputs], np.ones(len(more))]), spread, PAIR_EPOCHS, seed)
+
+
+def _fitted(terms: list[np.ndarray], labels: np.ndarray, inputs: np.ndarray, value: np.ndarray, spread: np.ndarray, epochs: int, seed: int) -> Machine:
+    n, place, rng = len(labels), np.full(1 << BITS, -1, np.int32), np.random.default_rng(seed)
     place[inputs] = np.arange(len(inputs))
-    value = ratio[inputs]
-    rng = np.random.default_rng(seed)
+    rate = np.clip((labels.sum() + 0.5) / (n + 1), 1e-3, 1 - 1e-3)
+    state = [np.array([np.log(rate / (1 - rate))]), np.where(value == 1, 0.0, 0.5), rng.normal(0, 1, (len(inputs), FACTORS)) * spread[:, None]]
+    if not len(inputs):
+        return Machine(place, value, state[1], state[2], float(state[0][0]))
     x = np.zeros((n, len(inputs)), np.float32)
     for row, t in enumerate(terms):
         found = place[t]
         x[row, found[found >= 0]] = 1
     x *= value.astype(np.float32)
-    state = [np.array([empty.bias]), np.full(len(inputs), 0.5), rng.normal(0, 0.01, (len(inputs), FACTORS))]
     first, second, step = [np.zeros_like(s) for s in state], [np.zeros_like(s) for s in state], 0
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         order = rng.permutation(n)
         for a in range(0, n, BATCH):
             rows = order[a : a + BATCH]
@@ -259,13 +223,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
-    """Fits on labelled rows that are not held out, at most TRAINING of them by a hash of their ids."""
+    """Fits on labelled rows that are not held out, at most TRAINING of them and TRAINING_BYTES of text, by a hash of their ids."""
     chosen = plain(labels, id=labels[f"`{id_col}`"].cast("long"), toxic=labels[f"`{label_col}`"].cast("int"))
     chosen = chosen.where(~held_out(F.col("id"))).where("id IS NOT NULL AND toxic IN (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(TRAINING)
     texts = plain(docs, doc_id=docs[f"`{id_col}`"].cast("long"), text=docs[f"`{text_col}`"].cast("string"))
-    found = texts.join(F.broadcast(chosen), texts.doc_id == chosen.id).select("text", "toxic")
-    rows = found.mapInArrow(tidy(_training_terms), "terms array<int>, toxic int").toArrow()
+    # one text an id, however many rows have it: that of the least hash
+    text = F.coalesce("text", F.lit(""))
+    found = texts.join(F.broadcast(chosen), texts.doc_id == chosen.id).select("id", "toxic", F.struct(F.xxhash64(text).alias("hash"), text.alias("text")).alias("of"))
+    found = written(found.groupBy("id").agg(F.min("of")["text"].alias("text"), F.first("toxic").alias("toxic")), "training")
+    so_far = Window.orderBy(F.xxhash64("id"), "id")  # of TRAINING rows at most
+    within = found.select("id", F.sum(F.octet_length("text")).over(so_far).alias("bytes")).where(F.col("bytes") <= TRAINING_BYTES).select("id")
+    rows = found.join(F.broadcast(within), "id").select("text", "toxic").mapInArrow(tidy(_training_terms), "terms array<int>, toxic int").toArrow()
     order = []
     for batch in rows.to_batches():
         lists, toxic = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)

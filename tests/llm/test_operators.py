@@ -472,6 +472,43 @@ def test_toxicity(spark, docs, none):
     assert toxicity.toxicity(none, said).collect() == [] and {r.score for r in toxicity.toxicity(docs, said.limit(0)).collect()} == {0.5}
 
 
+def plain_terms(text):
+    """A text's distinct terms, word by word."""
+    out = set()
+    for w in SPLIT.findall(text or ""):
+        data = "".join(c.lower() if "A" <= c <= "Z" else c for c in w).encode()
+        mark = [33 <= c < 127 and not chr(c).isalnum() for c in data]
+        if all(mark):
+            continue
+        data = data[mark.index(False) : len(mark) - mark[::-1].index(False)]
+        hashed = lambda b: int(textarrays.word_hashes(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))[0])
+        out.add(hashed(data) >> 44)
+        out |= {(hashed(data[:k]) * (2 * k + 1) & (2**64 - 1)) >> 44 for k in (4, 5, 6) if len(data) > k}
+    return out
+
+
+def test_scores_by_the_formula(spark):
+    """Terms read word by word, and the machine as a double sum over pairs of them."""
+    rng = random.Random(24)
+    texts = [None, "", "...", "(((ab)))!!! ?x? --", "Überraschung! naïveté...", "a" * 700] + [" ".join(rng.choice(("", "(", '"', "-" * 9)) + rng.choice(VOCABULARY).title() + rng.choice(("", ".", "!?!", "...)", "'s")) for _ in range(rng.randrange(1, 60))) for _ in range(40)]
+    import pyarrow as pa
+
+    for t in texts:
+        data, at = textarrays.string_buffers(pa.array([t], pa.string()))
+        assert set(toxicity.document_terms(data, at)[1].tolist()) == plain_terms(t), t
+    known = sorted({x for t in texts for x in plain_terms(t)})
+    inputs = np.array(rng.sample(known, 60))
+    place = np.full(1 << toxicity.BITS, -1, np.int32)
+    place[inputs] = np.arange(60)
+    np_rng = np.random.default_rng(25)
+    m = toxicity.Machine(place, np_rng.normal(size=60), np_rng.normal(size=60) * 0.3, np_rng.normal(size=(60, 8)) * 0.2, -0.4)
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), m).collect()}
+    for k, t in enumerate(texts):
+        own = [int(place[x]) for x in plain_terms(t) if place[x] >= 0]
+        raw = m.bias + sum(m.weight[i] * m.value[i] for i in own) + sum(float(m.factors[i] @ m.factors[j]) * m.value[i] * m.value[j] for i in own for j in own if i < j)
+        assert got[k] == pytest.approx(1 / (1 + np.exp(-raw)), abs=1e-9)
+
+
 def test_pairs_weigh():
     """The machine learns that two terms together are toxic and neither is alone."""
     rng = np.random.default_rng(10)
