@@ -89,8 +89,12 @@ class Machine:
 
     def of(self, terms: list[np.ndarray]) -> np.ndarray:
         """Scores of documents given as their distinct terms."""
-        documents = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-        return sigmoid(self.raw(documents, np.concatenate([*terms, np.zeros(0, np.int64)]).astype(np.int64), len(terms)))
+        out = np.zeros(len(terms))
+        for first in range(0, len(terms), 500):
+            some = terms[first : first + 500]
+            documents = np.repeat(np.arange(len(some)), [len(t) for t in some])
+            out[first : first + 500] = self.raw(documents, np.concatenate([*some, np.zeros(0, np.int32)]), len(some))
+        return sigmoid(out)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         data, at = string_buffers(texts)
@@ -126,7 +130,7 @@ def clear_pairs(terms: list[np.ndarray], labels: np.ndarray, expected: np.ndarra
     among = among[varying[among] > 0]
     place = np.full(1 << BITS, -1, np.int32)
     place[among] = np.arange(len(among))
-    left, variance = np.zeros((len(among), len(among))), np.zeros((len(among), len(among)))
+    left, variance = (np.zeros((len(among), len(among)), np.float32) for _ in range(2))
     for first in range(0, n, 2000):
         x = np.zeros((min(2000, n - first), len(among)), np.float32)
         for row, t in enumerate(terms[first : first + 2000]):
@@ -135,9 +139,9 @@ def clear_pairs(terms: list[np.ndarray], labels: np.ndarray, expected: np.ndarra
         p = expected[first : first + 2000]
         left += x.T @ (x * (labels[first : first + 2000] - p)[:, None].astype(np.float32))
         variance += x.T @ (x * np.maximum(p * (1 - p), 0.01)[:, None].astype(np.float32))
-    alone, out = np.diag(left) ** 2 / np.maximum(np.diag(variance), 1e-9), []
+    alone, out = np.diag(left) ** 2 / np.maximum(np.diag(variance), np.float32(1e-9)), []
     for i in range(len(among) - 1):
-        gain = left[i, i + 1 :] ** 2 / np.maximum(variance[i, i + 1 :], 1e-9) - np.maximum(alone[i], alone[i + 1 :])
+        gain = left[i, i + 1 :] ** 2 / np.maximum(variance[i, i + 1 :], np.float32(1e-9)) - np.maximum(alone[i], alone[i + 1 :])
         out += [(float(gain[j]), int(among[i]), int(among[i + 1 + j])) for j in np.flatnonzero((gain >= PAIR) & (np.abs(left[i, i + 1 :]) >= LEAST_DOCUMENTS))]
     return sorted(out, key=lambda p: (-p[0], p[1:]))
 
