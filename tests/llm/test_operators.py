@@ -186,7 +186,9 @@ def test_rows_after_an_overflow_go_to_the_node():
     assert sorted(r["members"] for r in out if r["a"] is None) == [[1, 2], [4, 5]]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("edges_of_a_task", [200_000, 40])
+def test_components(spark, monkeypatch, edges_of_a_task):
+    monkeypatch.setattr(components, "EDGES", edges_of_a_task)
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(250)] + [(5000, k) for k in range(5001, 5200)] + [(7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(8), "t").collect()}
