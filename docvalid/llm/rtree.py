@@ -115,3 +115,28 @@ def candidate_pairs(points: list[np.ndarray], sizes: np.ndarray, num: int, den:
             folded = fold(own2, own.shape[1])
             for i, j in surviving(tree, build(folded, n2, np.arange(len(rows2))), own, folded, n, n2, num, den, False):
                 yield rows[i], rows2[j]
+
+
+def trees(points: list[np.ndarray], sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, Node]]:
+    """Sets by number of groups: their rows, points, sizes and tree."""
+    groups = np.array([len(p) for p in points])
+    out = []
+    for g in np.unique(groups):
+        rows = np.flatnonzero(groups == g)
+        own = np.stack([points[r] for r in rows])
+        out.append((rows, own, sizes[rows], build(own, sizes[rows], np.arange(len(rows)))))
+    return out
+
+
+def pairs_between(a: list, b: list, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row of a, row of b) of sets that may reach num / den; a and b as ``trees`` gives them."""
+    for rows, own, n, tree in a:
+        for rows2, own2, n2, tree2 in b:
+            if den * n.max() < num * n2.min() or den * n2.max() < num * n.min():
+                continue
+            least = min(own.shape[1], own2.shape[1])
+            p, q = fold(own, least), fold(own2, least)
+            x = tree if p is own else build(p, n, np.arange(len(rows)))
+            y = tree2 if q is own2 else build(q, n2, np.arange(len(rows2)))
+            for i, j in surviving(x, y, p, q, n, n2, num, den, False):
+                yield rows[i], rows2[j]

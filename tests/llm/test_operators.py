@@ -143,6 +143,60 @@ def test_large_components_are_dealt(spark, monkeypatch):
         assert got == brute_components(rows)
 
 
+def test_sets_outside_the_main_group_are_not_dealt_to_all_parts(spark, monkeypatch):
+    """Sets that only a frequent passage ties: what is shuffled to parts grows with their number, not with that times the parts."""
+    for name, value in (("PART", 300), ("PIVOTS", 1), ("ROUNDS", 1), ("RARE", 8), ("VISITORS", 4_000)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(23)
+    passage = prose(rng, 45).split()
+    texts = [" ".join(passage + prose(rng, 6).split()) for _ in range(4)] + near_copies(rng, passage, 40, 3)
+    texts += [" ".join(passage[:14] + [f"u{k}"]) for k in range(3)] + [" ".join(passage[k % 9 : k % 9 + 24] + prose(rng, 4).split()) for k in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    seen, plain = spark.sparkContext.accumulator(0), ngram_join._verified
+
+    def counted(num, den):
+        run = plain(num, den)
+
+        def each(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return lambda batches: run(each(batches))
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    visits, met = [], ngram_join._visits
+    monkeypatch.setattr(ngram_join, "_visits", lambda *a: visits.append(met(*a)) or visits[-1])
+    got = Counter(tuple(r) for r in ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert got == brute_components(rows)
+    assert len(visits) == 1 and len(visits[0]) > 1
+    assert seen.value < 2 * len(rows)
+
+
+def test_shingles_spread_over_tasks_are_frequent(spark, monkeypatch):
+    """A passage in few documents of each task, but in more than CELL of all, is no signature that ties them."""
+    rng = random.Random(24)
+    passage = prose(rng, 12)
+    texts = [" ".join(f"x{rng.randrange(10**9)}" for _ in range(20)) + (f" {passage}" if k % 25 < 1 else "") for k in range(800)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).repartition(8)
+    monkeypatch.setattr(ngram_join, "CELL", 16)
+    monkeypatch.setattr(ngram_join, "RARE", 2)
+    found = set(ngram_join._frequent_shingles(frame, 5).view(np.uint64).tolist())
+    import pyarrow as pa
+
+    assert found == set(next(textarrays.shingle_sets(pa.array([passage]))).tolist())
+
+
+def test_pairs_between_trees():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 4000, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[k * 5 : k * 5 + n], rng.integers(0, 2**63, 9, dtype=np.uint64)])) for k in range(60) for n in (30, 33, 300)]
+    one, other = sets[::2], sets[1::2]
+    found = {(int(x), int(y)) for i, j in rtree.pairs_between(ngram_join._trees(one), ngram_join._trees(other), 4, 5) for x, y in zip(i, j)}
+    wanted = {(x, y) for x, s in enumerate(one) for y, t in enumerate(other) if ngram_join.linked(s, t, 4, 5)}
+    assert wanted and wanted <= found
+
+
 def test_one_of_each(spark, docs):
     rng = random.Random(22)
     text = prose(rng, 50)
