@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import quick_partitions, tidy, written
+from .shared import quick_partitions, tidy
+from .shared import settled as written
 
 #: Edges that a task contracts, about.
 EDGES = 100_000

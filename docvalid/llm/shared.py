@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 #: Java's pattern for what separates words: space and 0x09-0x0D.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 BATCH_ROWS = 2000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _written: dict[str, SparkSession] = {}
 
@@ -71,6 +72,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """written, whose shuffle files go as soon as the table stands, not when the driver next collects its garbage."""
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+
+
 def forget(spark: SparkSession) -> None:
     """Removes the tables that ``written`` made in this session; frames that read them end with it."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -122,6 +123,58 @@ def test_rows_without_an_id_link(spark):
     assert got == brute_components(rows) and {r[2] for r in got} == {5, None}
 
 
+def shuffled(spark):
+    """Bytes that the stages so far have shuffled, and the shuffle files that are left."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), None)
+    files = jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size())), {f for f in files if "/shuffle_" in f}
+
+
+def test_shuffle_files_go_with_the_table(spark):
+    """Those of op1's tables and components, though the frame that made them is still held."""
+    old = shuffled(spark)[1]
+    for module in (ngram_join, components):
+        frame = spark.range(1000).repartition(4, "id")
+        assert len(module.written(frame, "t").collect()) == 1000  # a count would shuffle
+        for _ in range(100):  # they go in the background
+            if not (left := shuffled(spark)[1] - old):
+                break
+            time.sleep(0.1)
+        assert not left
+
+
+def test_texts_of_no_copies_are_not_shuffled(spark, monkeypatch):
+    """More wanted rows than are broadcast: their texts alone move."""
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    rng = random.Random(22)
+    rows = [(k, f"{rng.getrandbits(40_000):x}") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    assert docs.count() == 400
+    wanted = spark.createDataFrame([(-k, k) for k in range(5)], "key long, id long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)[0]
+        got = ngram_join._texts(docs, wanted).collect()
+        assert Counter(tuple(r) for r in got) == Counter((-k, t) for k, t in rows[:5])
+        assert 0 < shuffled(spark)[0] - before < sum(len(t) for _, t in rows) / 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_filter_of_ids_is_exact(spark, monkeypatch):
+    """Ids that share a bit of the filter, or all of them, are told apart; ids of any sign, and none."""
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    ids = [-(1 << 63), -1, 0, 1, (1 << 63) - 1, *range(100, 400)]
+    docs = spark.createDataFrame([(i, f"t{i}") for i in [*ids, *range(1000, 3000)]] + [(None, "none"), (5, None), (100, "again")], "doc_id long, text string").repartition(3)
+    wanted = spark.createDataFrame([(k, i) for k, i in enumerate(ids)], "key long, id long")
+    expected = Counter([(k, f"t{i}") for k, i in enumerate(ids)] + [(ids.index(100), "again")])
+    for bits in (64, 1 << 27):
+        monkeypatch.setattr(ngram_join, "FILTER_BITS", bits)
+        assert Counter(tuple(r) for r in ngram_join._texts(docs, wanted).collect()) == expected
+
+
 def test_large_components_are_dealt(spark, monkeypatch):
     """A group of near copies, others that only frequent shingles tie to it, and chains, over many parts."""
     monkeypatch.setattr(ngram_join, "PART", 900)
