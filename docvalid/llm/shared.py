@@ -36,15 +36,20 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except AttributeError:  # not glibc
-            return
+        give_back()
 
     return tidied
 
 
+def give_back() -> None:
+    """Gives memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        return
+
+
 def plain(df: DataFrame, **columns: str | Column) -> DataFrame:
     """Only the named columns, under names of our own: others, and those that clash with ours, are gone."""
     small_batches(df.sparkSession)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import plain, table, tidy, written
+from .shared import give_back, plain, table, tidy, written
 from .textarrays import pieces, string_buffers, word_hashes, words
 
 BITS = 20
@@ -38,6 +38,8 @@ INPUTS, FACTORS, CLEAR, LEAST_DOCUMENTS = 1024, 8, 18.0, 4
 EPOCHS, BATCH, RATE, DECAY = 25, 256, 0.02, 1e-4
 #: Terms among which pairs are looked for, twice the gain in log-likelihood that makes one clear, and the epochs where there are any.
 PAIRED, PAIR, PAIR_EPOCHS = 2048, 40.0, 120
+#: Of the PAIRED terms and of the documents, how many are held against all others at once; the result is the same for any.
+PAIR_TERMS, PAIR_DOCUMENTS = 256, 500
 
 #: ASCII marks, which a word's ends lose.
 _EDGE = np.array([33 <= c < 127 and not chr(c).isalnum() for c in range(256)])
@@ -119,53 +121,88 @@ def clearness(seen: np.ndarray, total: np.ndarray, positive: int, n: int) -> np.
     return out
 
 
-def clear_pairs(terms: list[np.ndarray], labels: np.ndarray, expected: np.ndarray) -> list[tuple[float, int, int]]:
-    """(gain, term, term) of the pairs that tell what the expected labels leave open, the clearest first."""
-    n = len(labels)
-    counts = np.zeros(1 << BITS)
-    for t in terms:
-        counts[t] += 1
-    varying = np.where(counts >= LEAST_DOCUMENTS, counts * (n - counts), 0)
-    among = np.argsort(-varying, kind="stable")[:PAIRED]
-    among = among[varying[among] > 0]
+def clear_pairs(terms: list[np.ndarray], labels: np.ndarray, expected: np.ndarray, among: np.ndarray) -> list[tuple[float, int, int]]:
+    """(gain, term, term) of the pairs of terms in among that tell what the expected labels leave open, the clearest first."""
+    n, m = len(labels), len(among)
     place = np.full(1 << BITS, -1, np.int32)
-    place[among] = np.arange(len(among))
-    left, variance = (np.zeros((len(among), len(among)), np.float32) for _ in range(2))
-    for first in range(0, n, 2000):
-        x = np.zeros((min(2000, n - first), len(among)), np.float32)
-        for row, t in enumerate(terms[first : first + 2000]):
-            found = place[t]
-            x[row, found[found >= 0]] = 1
-        p = expected[first : first + 2000]
-        left += x.T @ (x * (labels[first : first + 2000] - p)[:, None].astype(np.float32))
-        variance += x.T @ (x * np.maximum(p * (1 - p), 0.01)[:, None].astype(np.float32))
-    alone, out = np.diag(left) ** 2 / np.maximum(np.diag(variance), np.float32(1e-9)), []
-    for i in range(len(among) - 1):
-        gain = left[i, i + 1 :] ** 2 / np.maximum(variance[i, i + 1 :], np.float32(1e-9)) - np.maximum(alone[i], alone[i + 1 :])
-        out += [(float(gain[j]), int(among[i]), int(among[i + 1 + j])) for j in np.flatnonzero((gain >= PAIR) & (np.abs(left[i, i + 1 :]) >= LEAST_DOCUMENTS))]
+    place[among] = np.arange(m)
+    rest, spread = labels - expected, np.maximum(expected * (1 - expected), 0.01)
+    alone, varies = np.zeros(m), np.zeros(m)
+    for t, r, v in zip(terms, rest, spread):
+        found = place[t]
+        found = found[found >= 0]
+        alone[found] += r
+        varies[found] += v
+    alone, out = alone**2 / np.maximum(varies, 1e-9), []
+    for low in range(0, m, PAIR_TERMS):  # against themselves and the terms after them
+        high = min(low + PAIR_TERMS, m)
+        left, variance = (np.zeros((high - low, m - low), np.float32) for _ in range(2))
+        for first in range(0, n, PAIR_DOCUMENTS):
+            some = slice(first, min(first + PAIR_DOCUMENTS, n))
+            x = np.zeros((some.stop - first, m - low), np.float32)
+            for row, t in enumerate(terms[some]):
+                found = place[t] - low
+                x[row, found[found >= 0]] = 1
+            rows = x[:, : high - low]
+            left += (rows * rest[some, None].astype(np.float32)).T @ x
+            variance += (rows * spread[some, None].astype(np.float32)).T @ x
+        for k, i in enumerate(range(low, high)):
+            gain = left[k, k + 1 :] ** 2 / np.maximum(variance[k, k + 1 :], np.float32(1e-9)) - np.maximum(alone[i], alone[i + 1 :])
+            out += [(float(gain[j]), int(among[i]), int(among[i + 1 + j])) for j in np.flatnonzero((gain >= PAIR) & (np.abs(left[k, k + 1 :]) >= LEAST_DOCUMENTS))]
     return sorted(out, key=lambda p: (-p[0], p[1:]))
 
 
+@dataclass
+class Chosen:
+    inputs: np.ndarray  #: terms that differ clearly, the clearest first
+    value: np.ndarray  #: of each input
+    among: np.ndarray  #: terms among which pairs are looked for
+
+
+def choose(terms: list[np.ndarray], labels: np.ndarray) -> Chosen:
+    """The terms that a machine of these documents can need."""
+    n, positive = len(labels), int(labels.sum())
+    if not 0 < positive < n:
+        return Chosen(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+    with_, both = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+    for t, y in zip(terms, labels):
+        both[t] += 1
+        if y:
+            with_[t] += 1
+    often = np.flatnonzero(both >= LEAST_DOCUMENTS)
+    seen, total = with_[often].astype(np.float64), both[often].astype(np.float64)
+    ratio = np.log((seen + 0.5) / (positive + 1)) - np.log((total - seen + 0.5) / (n - positive + 1))
+    clear = clearness(seen, total, positive, n)
+    clear[np.abs(ratio) < 1] = 0
+    best = np.argsort(-clear, kind="stable")[:INPUTS]
+    best = best[clear[best] >= CLEAR]
+    varying = total * (n - total)
+    most = np.argsort(-varying, kind="stable")[:PAIRED]
+    return Chosen(often[best], ratio[best], often[most[varying[most] > 0]])
+
+
+def narrowed(terms: list[np.ndarray], chosen: Chosen) -> list[np.ndarray]:
+    """Copies of the documents' terms, without those that were not chosen."""
+    wanted = np.zeros(1 << BITS, bool)
+    wanted[chosen.inputs] = wanted[chosen.among] = True
+    return [t[wanted[t]] for t in terms]
+
+
 def fit(terms: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     """The machine of documents given as their distinct terms, by Adam on the logistic loss."""
-    size = 1 << BITS
-    place, n, positive = np.full(size, -1, np.int32), len(labels), int(labels.sum())
-    rate = np.clip((positive + 0.5) / (n + 1), 1e-3, 1 - 1e-3)
-    empty = Machine(place, np.zeros(0), np.zeros(0), np.zeros((0, FACTORS)), float(np.log(rate / (1 - rate))))
+    chosen = choose(terms, labels)
+    return learn(narrowed(terms, chosen), labels, chosen, seed)
+
+
+def learn(terms: list[np.ndarray], labels: np.ndarray, chosen: Chosen, seed: int = 7) -> Machine:
+    """fit of documents given as those of their terms that were chosen."""
+    n, positive, inputs = len(labels), int(labels.sum()), chosen.inputs
     if not 0 < positive < n:
-        return empty
-    with_, without = np.zeros(size), np.zeros(size)
-    for t, y in zip(terms, labels):
-        (with_ if y else without)[t] += 1
-    ratio = np.log((with_ + 0.5) / (positive + 1)) - np.log((without + 0.5) / (n - positive + 1))
-    both = with_ + without
-    clear = clearness(with_, both, positive, n)
-    clear[(both < LEAST_DOCUMENTS) | (np.abs(ratio) < 1)] = 0
-    inputs = np.argsort(-clear, kind="stable")[:INPUTS]
-    inputs = inputs[clear[inputs] >= CLEAR]
-    machine = _fitted(terms, labels, inputs, ratio[inputs], np.full(len(inputs), 0.01), EPOCHS, seed)
+        rate = np.clip((positive + 0.5) / (n + 1), 1e-3, 1 - 1e-3)
+        return Machine(np.full(1 << BITS, -1, np.int32), np.zeros(0), np.zeros(0), np.zeros((0, FACTORS)), float(np.log(rate / (1 - rate))))
+    machine = _fitted(terms, labels, inputs, chosen.value, np.full(len(inputs), 0.01), EPOCHS, seed)
     paired: dict[int, None] = {}
-    for _, i, j in clear_pairs(terms, labels, machine.of(terms)):
+    for _, i, j in clear_pairs(terms, labels, machine.of(terms), chosen.among):
         if len(paired) + 2 <= INPUTS:
             paired |= {i: None, j: None}
     if not paired:
@@ -173,7 +210,7 @@ def fit(terms: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     more = np.array([t for t in paired if machine.place[t] < 0], np.int64)
     spread = np.full(len(inputs) + len(more), 0.1)
     spread[[k for k, t in enumerate(inputs.tolist()) if t not in paired]] = 0.01
-    return _fitted(terms, labels, np.concatenate([inputs, more]), np.concatenate([ratio[inputs], np.ones(len(more))]), spread, PAIR_EPOCHS, seed)
+    return _fitted(terms, labels, np.concatenate([inputs, more]), np.concatenate([chosen.value, np.ones(len(more))]), spread, PAIR_EPOCHS, seed)
 
 
 def _fitted(terms: list[np.ndarray], labels: np.ndarray, inputs: np.ndarray, value: np.ndarray, spread: np.ndarray, epochs: int, seed: int) -> Machine:
@@ -183,17 +220,16 @@ def _fitted(terms: list[np.ndarray], labels: np.ndarray, inputs: np.ndarray, val
     state = [np.array([np.log(rate / (1 - rate))]), np.where(value == 1, 0.0, 0.5), rng.normal(0, 1, (len(inputs), FACTORS)) * spread[:, None]]
     if not len(inputs):
         return Machine(place, value, state[1], state[2], float(state[0][0]))
-    x = np.zeros((n, len(inputs)), np.float32)
+    has, worth = np.zeros((n, len(inputs)), bool), value.astype(np.float32)
     for row, t in enumerate(terms):
         found = place[t]
-        x[row, found[found >= 0]] = 1
-    x *= value.astype(np.float32)
+        has[row, found[found >= 0]] = True
     first, second, step = [np.zeros_like(s) for s in state], [np.zeros_like(s) for s in state], 0
     for _ in range(epochs):
         order = rng.permutation(n)
         for a in range(0, n, BATCH):
             rows = order[a : a + BATCH]
-            xb = x[rows].astype(np.float64)
+            xb = (has[rows] * worth).astype(np.float64)
             bias, weight, factors = state
             xv = xb @ factors
             raw = bias[0] + xb @ weight + 0.5 * ((xv**2).sum(1) - (xb**2) @ (factors**2).sum(1))
@@ -239,13 +275,30 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     so_far = Window.orderBy(F.xxhash64("id"), "id")  # of TRAINING rows at most
     within = found.select("id", F.sum(F.octet_length("text")).over(so_far).alias("bytes")).where(F.col("bytes") <= TRAINING_BYTES).select("id")
     rows = found.join(F.broadcast(within), "id").select("text", "toxic").mapInArrow(tidy(_training_terms), "terms array<int>, toxic int").toArrow()
-    order = []
+    terms, toxic = _in_order(rows)
+    del rows
+    chosen = choose(terms, toxic)
+    terms = narrowed(terms, chosen)  # the others, most of what was sent, go before the machine is fitted
+    give_back()
+    machine = learn(terms, toxic, chosen)
+    del terms
+    give_back()
+    return machine
+
+
+def _in_order(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    """Terms, which stay where they are, and labels of documents; tasks end in any order."""
+    alike: dict[tuple[int, int], list[np.ndarray]] = {}
     for batch in rows.to_batches():
         lists, toxic = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
         cuts, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-        order += [(values[cuts[k] : cuts[k + 1]], int(toxic[k])) for k in range(len(toxic))]
-    order.sort(key=lambda r: (r[1], len(r[0]), r[0].tobytes()))  # tasks end in any order
-    return fit([t for t, _ in order], np.array([y for _, y in order], np.float64))
+        for k, y in enumerate(toxic.tolist()):
+            alike.setdefault((y, int(cuts[k + 1] - cuts[k])), []).append(values[cuts[k] : cuts[k + 1]])
+    terms, labels = [], []
+    for key in sorted(alike):
+        terms += sorted(alike[key], key=lambda t: t.tobytes())
+        labels += [key[0]] * len(alike[key])
+    return terms, np.array(labels, np.float64)
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
